@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def partitions(spark: SparkSession) -> int:
 
 def slices(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text gets a range of its own."""
-    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
@@ -67,27 +68,26 @@ def slices(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The text column with nulls as empty strings."""
     a = batch.column(batch.schema.get_field_index(column))
-    return pa.compute.fill_null(a.cast(pa.large_string()), "")
+    return pc.fill_null(a.cast(pa.large_string()), "")
 
 
 def map_texts(
-    docs: DataFrame, per_slice: Callable[[pa.RecordBatch, pa.Array], dict], schema: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, per_slice: Callable[[pa.RecordBatch, pa.Array], dict], schema: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``per_slice(batch, texts)`` over slices of the id and text columns; it returns the
-    output columns. Only these two columns are read."""
-    names = [f.name for f in docs.select(F.col(id_col), F.col(text_col)).schema.fields]
+    """``per_slice(batch, texts)`` over slices of the id and text columns and those in
+    ``also``; it returns the output columns. No other column is read."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch, names[1])
+            texts = texts_of(batch, text_col)
             for a, b in slices(texts):
                 cols = per_slice(batch.slice(a, b - a), texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in out], schema=out)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), *also).mapInArrow(run, schema)
 
 
 def ragged_arange(lengths: np.ndarray) -> np.ndarray:
