@@ -16,15 +16,15 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 MARKS = b"!?\"'()-/:;=@[\\]^_`{}~+"
 #: Deviation that every dimension has at least: shares below it don't tell texts apart.
-FLOOR = np.array([0.12, 0.08, 0.12, 0.12, 0.15, 0.10])
+FLOOR = np.array([0.12, 0.05, 0.12, 0.25, 0.20, 0.10])
 #: Share of a group that the estimate rests on.
 CORE = 0.75
 STEPS = 4
 #: A group of fewer rows takes the estimate of its language, then that of all rows.
 LEAST_ROWS = 200
 #: Squared distance beyond which a text is rejected: the chi-square quantile of six
-#: dimensions at 1 - 1e-9.
-CUTOFF = 53.1
+#: dimensions at 0.999.
+CUTOFF = 22.46
 #: Median of that chi-square distribution.
 MEDIAN = 5.348
 
