@@ -32,8 +32,11 @@ def order_minhash(text: Column, k: int = K) -> Column:
     the edit distance, as that of a MinHash of the set doesn't."""
     low = F.lit((1 << PLACE) - 1).cast("bigint")
     high = F.lit(-(1 << PLACE)).cast("bigint")
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(text, " "), "")
     padded = F.concat(words, F.array_repeat(F.lit(""), k - 1))
+    powers = F.lit([1 << j for j in reversed(range(PLACE + 1))])
 
     def hashes(w: Column) -> Column:
         return F.transform(
@@ -41,44 +44,45 @@ def order_minhash(text: Column, k: int = K) -> Column:
             lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]).bitwiseAND(high).bitwiseOR(i.cast("bigint").bitwiseAND(low)),
         )
 
-    def changes(sorted_array: Column, bits: int) -> Column:
-        """Places where the numbers above ``bits`` change."""
-        return F.filter(
-            F.sequence(F.lit(0), F.size(sorted_array) - 1),
-            lambda i: (i == 0) | (F.shiftright(F.get(sorted_array, i), bits) != F.shiftright(F.get(sorted_array, i - 1), bits)),
-        )
+    def numbered(p: Column, steps: Column) -> Column:
+        """Each hash with its number among equal ones, which stand together in ``p``; the
+        first of them is found by halving."""
 
-    def numbered(p: Column) -> Column:
-        return _let(
-            changes(p, PLACE),
-            lambda starts: F.flatten(
-                F.transform(
-                    starts,
-                    lambda a, j: F.transform(
-                        F.sequence(a, F.coalesce(F.get(starts, j + 1), F.size(p)) - 1),
-                        lambda i: F.xxhash64(F.shiftrightunsigned(F.get(p, i), PLACE), i - a).bitwiseAND(high).bitwiseOR(F.get(p, i).bitwiseAND(low)),
-                    ),
-                )
-            ),
-        )
+        def first(x: Column) -> Column:
+            ahead = lambda at, step: F.coalesce(F.get(p, at + step - 1) < x.bitwiseAND(high), F.lit(False))
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+
+        def one(x: Column, i: Column) -> Column:
+            repeated = F.coalesce(x.bitwiseXOR(F.get(p, i - 1)).bitwiseAND(high) == 0, F.lit(False))
+            number = F.when(repeated, i - first(x)).otherwise(F.lit(0))
+            return F.xxhash64(x.bitwiseAND(high), number).bitwiseAND(high).bitwiseOR(x.bitwiseAND(low))
+
+        return F.transform(p, one)
+
+    def changes(s: Column, bits: int) -> Column:
+        """The first of each run of numbers that are equal above ``bits``."""
+        above = F.lit(-(1 << bits)).cast("bigint")
+        return F.filter(s, lambda x, i: F.coalesce(x.bitwiseXOR(F.get(s, i - 1)).bitwiseAND(above) != 0, F.lit(True)))
 
     def signed(least: Column) -> Column:
-        group = lambda i: F.shiftrightunsigned(F.get(least, i), 58)
-        value = lambda i: F.shiftrightunsigned(F.get(least, i), PLACE)
-        place = lambda i: F.get(least, i).bitwiseAND(low)
+        value = lambda x: F.shiftrightunsigned(x, PLACE)
+        group = lambda x: F.shiftrightunsigned(x, 58)
 
-        def one(i: Column) -> Column:
-            pair = F.when(F.coalesce(group(i + 1) != group(i), F.lit(True)), F.xxhash64(value(i)))
-            pair = pair.when(place(i) < place(i + 1), F.xxhash64(value(i), value(i + 1))).otherwise(F.xxhash64(value(i + 1), value(i)))
-            return F.shiftleft(group(i), 16).bitwiseOR(pair.bitwiseAND(F.lit(0xFFFF)))
+        def one(x: Column, i: Column) -> Column:
+            y = F.get(least, i + 1)
+            alone = F.coalesce(group(x) != group(y), F.lit(True))
+            pair = F.when(alone, F.xxhash64(value(x)))
+            pair = pair.when(x.bitwiseAND(low) < y.bitwiseAND(low), F.xxhash64(value(x), value(y))).otherwise(F.xxhash64(value(y), value(x)))
+            joined = F.shiftleft(group(x), 16).bitwiseOR(pair.bitwiseAND(F.lit(0xFFFF)))
+            return F.when(F.coalesce(group(F.get(least, i - 1)) == group(x), F.lit(False)), F.lit(None)).otherwise(joined)
 
-        return _let(changes(least, 58), lambda firsts: F.transform(firsts, one))
+        return F.array_compact(F.transform(least, one))
 
-    def minima(s: Column) -> Column:
-        return _let(changes(s, 57), lambda at: F.transform(at, lambda i: F.get(s, i)))
+    def full(w: Column) -> Column:
+        steps = F.filter(powers, lambda x: x <= F.size(w))
+        return _let(F.sort_array(hashes(w)), lambda p: _let(steps, lambda st: _let(F.sort_array(numbered(p, st)), lambda s: _let(changes(s, 57), signed))))
 
-    full = _let(padded, lambda w: _let(F.sort_array(hashes(w)), lambda p: _let(F.sort_array(numbered(p)), lambda s: _let(minima(s), signed))))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(full)
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(_let(padded, full))
 
 
 def likeness(a: Column, b: Column) -> Column:
