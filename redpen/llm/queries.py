@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, packing, quality, simhash, substrings, token_counts
+from . import fingerprints, licenses, packing, quality, simhash, substrings, suffixes, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicated(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op5_quality, op6_substrings, op7_simhash, op8_licenses, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op5_quality, op6_substrings, op7_simhash, op8_licenses, op9_suffixes, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,19 +51,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - step)], values[width - step :]) if width > step else values
 
 
-def anchors(codes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors of a text, and the first and last start of the windows
-    that each one anchors."""
+def anchors(codes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors of a text, the first and last start of the windows that
+    each one anchors, and its own place."""
     count = len(codes) - window + 1
     if count < 1:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
+        return z.astype(np.uint64), z, z, z
     h = window_hashes(codes, k, BASES[0])
     at = np.arange(len(h), dtype=np.uint64)
     least = sliding_least((h & ~PLACE) | (at & PLACE), window - k + 1) & PLACE
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     place = first + ((least[first] - first.astype(np.uint64)) & PLACE).astype(np.int64)
-    return h[place], first, np.r_[first[1:], count] - 1
+    return h[place], first, np.r_[first[1:], count] - 1, place
 
 
 def bucketed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _drop(spark, table: str) -> None:
 
 def repeated_anchors(table: DataFrame, codes_of: Callable[[str], np.ndarray], window: int, k: int) -> DataFrame:
     """For each text with anchors that stand twice or more: rid and ``spans``, structs
-    (first, last, anchor, n) with the anchor's places in the corpus."""
+    (first, last, at, anchor, n); n counts the anchor's places in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +98,12 @@ def repeated_anchors(table: DataFrame, codes_of: Callable[[str], np.ndarray], wi
                 rid = batch.column(0).slice(a, b - a).to_numpy()
                 got = [anchors(codes_of(t), window, k) for t in texts.slice(a, b - a).to_numpy(zero_copy_only=False)]
                 sizes = [len(g[0]) for g in got]
-                h, first, last = (np.concatenate([g[j] for g in got]) for j in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, sizes)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], names=["rid", "first", "last", "anchor"])
+                h, first, last, at = (np.concatenate([g[j] for g in got]) for j in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, sizes)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["rid", "first", "last", "at", "anchor"])
 
-    places = written(table.select("rid", "text").mapInArrow(run, "rid bigint, first int, last int, anchor bigint"), "anchors")
+    places = written(table.select("rid", "text").mapInArrow(run, "rid bigint, first int, last int, at int, anchor bigint"), "anchors")
     counts = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    return places.join(counts, "anchor").groupBy("rid").agg(F.collect_list(F.struct("first", "last", "anchor", "n")).alias("spans"))
+    return places.join(counts, "anchor").groupBy("rid").agg(F.collect_list(F.struct("first", "last", "at", "anchor", "n")).alias("spans"))
 
 
 def starts_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
