@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, lm, packing, quality, simhash, substrings, suffixes, token_counts
+from . import fingerprints, licenses, lm, nbest, packing, quality, simhash, substrings, suffixes, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op4_lm_scores, op5_quality, op6_substrings, op7_simhash, op8_licenses, op9_suffixes, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_nbest, op4_lm_scores, op5_quality, op6_substrings, op7_simhash, op8_licenses, op9_suffixes, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
