@@ -143,7 +143,7 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("struct<tp:int,fp:int,fn:int>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("tp", "fp", "fn")]))
 def maxmatch_udf(source: pd.Series, hyp: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Gold is an array of structs that begin with start, end, correction."""
     rows = [maxmatch_counts(s, h, [(e["start"], e["end"], e["correction"]) for e in g]) for s, h, g in zip(source, hyp, gold, strict=True)]

@@ -144,7 +144,7 @@ def apply_checker(spark, sf_dir):
     """Matches of a checker rule (a lower-case ``the``) replaced in each first line."""
     rows = sentences(_docs(spark, sf_dir)).where("pos = 0").select("doc_id", "sentence")
     parts = F.split("sentence", "the", -1)
-    ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.coalesce(F.element_at(a, -1) + 3, F.lit(0)) + F.char_length(p)))
+    ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 3, F.lit(0)) + F.char_length(p)))
     safe = F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<int>"))
     matches = F.transform(safe, lambda o: F.struct(o.alias("offset"), F.lit(3).alias("length"), F.lit("THE").alias("replacement")))
     return rows.select("doc_id", training.apply_matches(F.col("sentence"), matches).alias("corrected"))
