@@ -24,7 +24,7 @@ def parse_answer(text: Column) -> Column:
     correction is salvaged, without changes; null if there is none."""
     whole = F.from_json(text, ANSWER)
     none = F.array().cast("array<struct<was:string,now:string,type:string>>")
-    part = F.regexp_extract(text, r'"correction":\s*"((?:[^"\\]|\\.)*)"', 1)
+    part = F.regexp_extract(text, r'"correction":\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
     full = F.struct(whole["correction"].alias("correction"), F.coalesce(whole["changes"], none).alias("changes"), F.lit(True).alias("complete"))
     rest = F.struct(F.replace(F.replace(part, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")).alias("correction"), none.alias("changes"), F.lit(False).alias("complete"))
     return F.when(whole["correction"].isNotNull(), full).when(part != "", rest)
