@@ -12,9 +12,9 @@ def test_freeze_and_drift(tmp_path):
         governance.freeze(manifest, "c", {})
     assert governance.drifts(manifest) == []
     data.write_text("S a c\n")
-    assert governance.drifts(manifest, "c") == ["c/train: changed", "c/test: changed"]
+    assert governance.drifts(manifest, "c") == ["c/test: changed", "c/train: changed"]
     data.unlink()
-    assert governance.drifts(manifest) == ["c/train: missing", "c/test: missing"] and governance.drifts(manifest, "d") == []
+    assert governance.drifts(manifest) == ["c/test: missing", "c/train: missing"] and governance.drifts(manifest, "d") == []
     with pytest.raises(KeyError, match="known: test, train"):
         governance.split_path(manifest, "c", "dev")
     with pytest.raises(governance.HeldOutSplitError):
