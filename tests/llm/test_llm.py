@@ -323,7 +323,7 @@ def test_representatives(spark, docs, rows, empty):
 
 
 def test_licenses(spark, docs, rows, empty):
-    texts = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC 4.0 and CC BY NC", "licensed under the GNU General Public License, version 3.", "this work is GNU licensed under public general the license", None, ""]
+    texts = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC 4.0 and CC BY NC", "This work is licensed under the GNU General Public License, version 3.", "this work is GNU licensed under public general the license", None, ""]
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [out[i].base_labels for i in range(7)] == ["mit", "apache-2", "cc-by-nc", "", "", "", ""]
     assert (out[2].n_base, out[2].first_word, out[2].last_word) == (2, 0, 6)
