@@ -155,6 +155,14 @@ def test_lm(docs, rows, empty):
     assert lm.scores(empty, path).count() == 0
 
 
+def test_lm_windows_tile_all_training_texts(docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = lm._gather(docs.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")), path).collect()
+    windows = [np.frombuffer(r.ids, "<u4") for r in found if r.kind == 2]
+    assert all(2 <= len(w) <= lm.WINDOW + 1 for w in windows)
+    assert Counter(t for w in windows for t in w[1:].tolist()).total() >= sum(r.n for r in found if r.kind == 1) - len(rows)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = lm.Attention(rng.normal(0, 0.3, len(lm.Attention.start(np.ones(lm.CLASSES) / lm.CLASSES).flat)))
