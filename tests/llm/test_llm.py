@@ -163,6 +163,18 @@ def test_lm_windows_tile_all_training_texts(docs, rows):
     assert Counter(t for w in windows for t in w[1:].tolist()).total() >= sum(r.n for r in found if r.kind == 1) - len(rows)
 
 
+def test_lm_learns_starts_and_ends(spark, docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    size = bpe.ByteModel(path).size
+    found = lm._gather(docs.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")), path).collect()
+    windows = [np.frombuffer(r.ids, "<u4").tolist() for r in found if r.kind == 2]
+    assert sum(w[0] == size + 1 for w in windows) == sum(w[-1] == size for w in windows) == len(rows)
+    assert not any(size + 1 in w[1:] or size in w[:-1] for w in windows)
+    assert sum(len(w) - 1 for w in windows) == sum(r.n for r in found if r.kind == 1) + len(rows)
+    short = spark.createDataFrame([(i, "yes no") for i in range(300)], "doc_id bigint, text string")
+    assert lm.scores(short, path).agg(F.avg("score")).first()[0] > -1.0
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = lm.Attention(rng.normal(0, 0.3, len(lm.Attention.start(np.ones(lm.CLASSES) / lm.CLASSES).flat)))
