@@ -186,18 +186,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, id_col: str
 WORDS, MINIMA, KEYS = 4, 16, 16
 
 
-def _long_prints(text: bytes, width: int) -> tuple[bytes, list[int]]:
-    """A 256-bit SimHash of the word shingles of a text, and the keys of its minima."""
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct word shingles of a text, hashed, in order."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return b"", []
+        return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     joined = b" ".join(words)
     k = min(width, n)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip((ends - sizes).tolist(), ends[k - 1 :].tolist(), strict=False)), np.uint64, n - k + 1)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip((ends - sizes).tolist(), ends[k - 1 :].tolist(), strict=False)), np.uint64, n - k + 1))
+
+
+def _long_prints(text: bytes, width: int) -> tuple[int | None, bytes, list[int]]:
+    """The hash of a text's set of word shingles, a 256-bit SimHash of it, and the keys
+    of its minima."""
+    h = _shingles(text, width)
+    if not len(h):
+        return None, b"", []
     counts = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(h), 1 << 13):
         part = h[i : i + (1 << 13)]
@@ -215,27 +223,27 @@ def _long_prints(text: bytes, width: int) -> tuple[bytes, list[int]]:
         least[empty] = mix64(least[after] + np.flatnonzero(empty).astype(np.uint64))
     turns = np.arange(KEYS)
     keys = mix64(least[turns % MINIMA] + mix64(least[(turns + 3) % MINIMA] + mix64(least[(turns + 8) % MINIMA] + turns.astype(np.uint64))))
-    return wide, keys.view(np.int64).tolist()
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), wide, keys.view(np.int64).tolist()
 
 
 def _bits_for(similarity: float) -> int:
     """Differing bits of long fingerprints within which texts of this similarity lie,
-    but for three standard deviations: the angle of equal-length sets, per bit."""
+    but for six standard deviations: the angle of equal-length sets, per bit."""
     from math import acos, ceil, pi, sqrt
 
     p = acos(2 * similarity / (1 + similarity)) / pi
     n = 64 * WORDS
-    return ceil(n * p + 2 * sqrt(n * p * (1 - p)))
+    return ceil(n * p + 6 * sqrt(n * p * (1 - p)))
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each group of near-duplicates: that
     of the least id (null last).
 
-    Texts are linked if their 256-bit SimHashes over shingles of ``width`` words differ
-    in no more bits than texts of ``similarity`` (Jaccard) do, but for two standard
-    deviations. Candidates share a key of three least shingles; pivot tables discard
-    pairs and the bits verify. Shorter texts have one shingle, all their words; texts
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles
+    is ``similarity`` or more. Candidates share a key of three least shingles, and their
+    256-bit SimHashes differ in no more bits than such texts' do, but for six standard
+    deviations; within what candidates connect, the sets decide each link. Shorter texts have one shingle, all their words; texts
     without words are all kept, null text among them. Repeated rows are copies. An
     empty table stays empty; columns of any other name pass through."""
     own = {id_col: "__id", text_col: "__text"}
@@ -244,16 +252,20 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     def per_slice(batch: pa.RecordBatch, texts: pa.Array) -> dict:
         got = [_long_prints(t.encode(), width) for t in texts.to_numpy(zero_copy_only=False)]
-        return {own[id_col]: batch.column(0), "fp": [g[0] for g in got], "keys": [g[1] for g in got], "rid": batch.column(2)}
+        return {own[id_col]: batch.column(0), "node": [g[0] for g in got], "fp": [g[1] for g in got], "keys": [g[2] for g in got], "rid": batch.column(2)}
 
     texts = rows.select(F.col("row")[id_col].alias(own[id_col]), F.col("row")[text_col].alias(own[text_col]), "rid")
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = map_texts(texts, per_slice, f"__id {kind}, fp binary, keys array<bigint>, rid bigint", own[id_col], own[text_col], also=("rid",))
-    prints = written(prints.where(F.length("fp") > 0), "prints")
-    distinct = prints.groupBy("fp").agg(F.first("keys").alias("keys"))
-    edges = _long_links(distinct, _bits_for(similarity))
+    prints = map_texts(texts, per_slice, f"__id {kind}, node bigint, fp binary, keys array<bigint>, rid bigint", own[id_col], own[text_col], also=("rid",))
+    prints = written(prints.where("node is not null"), "prints")
+    # equal sets have equal prints and keys
+    distinct = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    near = components(_long_links(distinct, _bits_for(similarity)))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
+    near = written(near.join(prints.groupBy("node").agg(F.min("rid").alias("rid")), "node").select("rid", "node", "root"), "near")
+    edges = _verified(texts.select("rid", own[text_col]).join(near, "rid").select("node", "root", own[text_col]), width, similarity)
     roots = components(edges)
-    classes = prints.select("__id", "rid", F.xxhash64("fp").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = prints.select("__id", "rid", F.col("node").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     classes = written(classes.select("__id", "rid", F.coalesce("root", "fp").alias("root")), "classes")
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("rid").alias("r"))).alias("m"))
     first = written(first.select("root", F.col("m.r").alias("keep")), "first")
@@ -261,16 +273,66 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
+def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of each ``root`` as all pairs of the similarity do."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_shingles(t.encode(), width).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int64()))], names=["node", "root", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: dict[int, list] = {}
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            flat = batch.column(2).values.to_numpy()
+            for i, (node, root) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                members.setdefault(root, []).append((node, flat[ends[i] : ends[i + 1]]))
+        for group in members.values():
+            a, b = _similar([h for _, h in group], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([group[i][0] for i in a], pa.int64()), pa.array([group[i][0] for i in b], pa.int64())], names=["a", "b"])
+
+    return texts.mapInArrow(sets, "node bigint, root bigint, h array<bigint>").repartition("root").mapInArrow(run, "a bigint, b bigint")
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets with at least this Jaccard similarity."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(sets):
+        for x in h.tolist():
+            places.setdefault(x, []).append(i)
+    held = {x: np.array(p) for x, p in places.items() if len(p) > 1}
+    left = np.ones(len(sets), bool)
+    a, b = [], []
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue and left.any():
+            i = queue.pop()
+            found = [held[x] for x in sets[i].tolist() if x in held]
+            if not found:
+                continue
+            common = np.bincount(np.concatenate(found), minlength=len(sets))
+            near = np.flatnonzero(left & (common >= similarity * (sizes + sizes[i] - common) - 1e-9))
+            left[near] = False
+            a += [i] * len(near)
+            b += near.tolist()
+            queue += near.tolist()
+    return a, b
+
+
 def _long_links(distinct: DataFrame, bits: int) -> DataFrame:
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    keyed = distinct.select("node", "fp", F.explode("keys").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_pylist(), b.column(1).to_numpy()) for b in batches]
+        held = [(b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()) for b in batches]
         if held:
-            fp = [x for h in held for x in h[0]]
-            words = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, WORDS)
-            a, b = _forest(np.concatenate([h[1] for h in held]), words, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([fp[i] for i in a], pa.binary()), pa.array([fp[i] for i in b], pa.binary())], names=["a", "b"])
+            node = np.concatenate([h[0] for h in held])
+            words = np.frombuffer(b"".join(x for h in held for x in h[1]), np.uint64).reshape(-1, WORDS)
+            a, b = _forest(np.concatenate([h[2] for h in held]), words, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    found = keyed.repartition("key").mapInArrow(run, "a binary, b binary")
-    return found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct()
+    return keyed.repartition("key").mapInArrow(run, "a bigint, b bigint").distinct()

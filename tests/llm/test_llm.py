@@ -342,6 +342,20 @@ def test_representatives(spark, docs, rows, empty):
     assert simhash.representatives(empty).count() == 0
 
 
+def test_representatives_verify_similarity(spark):
+    """Pairs of 100 shingles on both sides of a Jaccard similarity of 0.8."""
+    rng = random.Random(8)
+    texts, expect = [], 0
+    for pair in range(60):
+        common = [f"c{pair}x{rng.random()}" for _ in range(104)]
+        changed = (6, 15, 25)[pair % 3]
+        texts += [" ".join(common), " ".join(common[: 104 - changed] + [f"d{rng.random()}" for _ in range(changed)])]
+        a, b = (set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts[-2:])
+        expect += 1 if len(a & b) / len(a | b) >= 0.8 else 2
+    out = simhash.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert out.count() == expect == 100
+
+
 def test_licenses(spark, docs, rows, empty):
     texts = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC 4.0 and CC BY NC", "This work is licensed under the GNU General Public License, version 3.", "this work is GNU licensed under public general the license", None, ""]
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
