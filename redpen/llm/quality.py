@@ -20,8 +20,9 @@ FLOOR = np.array([0.12, 0.05, 0.12, 0.25, 0.20, 0.10])
 #: Share of a group that the estimate rests on.
 CORE = 0.75
 STEPS = 4
-#: A group of fewer rows takes the estimate of its language, then that of all rows.
-LEAST_ROWS = 200
+#: Rows that the parent's estimate counts as beside a group's own: that of all rows
+#: beside a language's, that beside a source's.
+PRIOR_ROWS = 12
 #: Squared distance beyond which a text is rejected: the chi-square quantile of six
 #: dimensions at 0.999.
 CUTOFF = 22.46
@@ -109,10 +110,41 @@ def _estimates(moments: DataFrame, p: int) -> DataFrame:
                     for j in range(i, p):
                         c[i, j] = c[j, i] = getattr(r, f"s{i}_{j}") / r.n - m[i] * m[j]
                 c += np.diag(FLOOR**2)
-                out.append((r.g, m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1])))
-            yield pd.DataFrame(out, columns=["g", "centre", "inverse", "log_det"])
+                out.append((r.g, m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1]), r.n))
+            yield pd.DataFrame(out, columns=["g", "centre", "inverse", "log_det", "n"])
 
-    return moments.mapInPandas(run, "g string, centre array<double>, inverse array<double>, log_det double")
+    return moments.mapInPandas(run, "g string, centre array<double>, inverse array<double>, log_det double, n bigint")
+
+
+def _shrunk(levels: DataFrame, estimates: DataFrame, p: int) -> DataFrame:
+    """Estimates by the first of ``levels``: each level's own, drawn towards the next
+    one's as if that had PRIOR_ROWS rows, so a group of few rows passes over to its own
+    estimate by degrees. Rows (g, centre, inverse, scale)."""
+    for k in range(3):
+        own = estimates.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("centre", "inverse", "scale", "n")])
+        levels = levels.join(own, F.col("levels")[k] == F.col(f"g{k}"), "left").drop(f"g{k}")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for r in rows.to_dict("records"):
+                centre = None
+                for k in (2, 1, 0):
+                    if r[f"centre{k}"] is None:
+                        continue
+                    m, c = np.array(r[f"centre{k}"]), np.linalg.inv(np.array(r[f"inverse{k}"]).reshape(p, p))
+                    if centre is None:
+                        centre, spread, scale = m, c, r[f"scale{k}"]
+                        continue
+                    w = r[f"n{k}"] / (r[f"n{k}"] + PRIOR_ROWS)
+                    apart = m - centre
+                    spread = w * c + (1 - w) * spread + w * (1 - w) * np.outer(apart, apart)
+                    centre, scale = centre + w * apart, w * r[f"scale{k}"] + (1 - w) * scale
+                if centre is not None:
+                    out.append((r["levels"][0], centre.tolist(), np.linalg.inv(spread).ravel().tolist(), scale))
+            yield pd.DataFrame(out, columns=["g", "centre", "inverse", "scale"])
+
+    return levels.mapInPandas(run, "g string, centre array<double>, inverse array<double>, scale double")
 
 
 def robust_estimates(rows: DataFrame, p: int) -> DataFrame:
@@ -145,13 +177,10 @@ def _verdicts(stats: DataFrame, least_words: int, repeat_percent: int, lang_col:
     stats = written(stats.withColumn("levels", F.array(*levels)), "stats")
     z = [f"z{i}" for i in range(p)]
     sound = stats.where(~F.col("base_failed")).select(F.explode("levels").alias("g"), *z)
-    sizes = sound.groupBy("g").agg(F.count("*").alias("rows")).where(f"rows >= {LEAST_ROWS}")
-    estimates = robust_estimates(written(sound.join(written(sizes, "sizes").select("g"), "g"), "vectors"), p)
-    for k in range(3):
-        own = estimates.select(F.col("g").alias(f"g{k}"), F.struct("centre", "inverse", "scale").alias(f"e{k}"))
-        stats = stats.join(own, F.col("levels")[k] == F.col(f"g{k}"), "left").drop(f"g{k}")
-    stats = stats.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumns({"centre": F.col("e.centre"), "inverse": F.col("e.inverse")})
-    stats = stats.withColumn("distance", _distance(p) / F.col("e.scale"))
+    estimates = robust_estimates(written(sound, "vectors"), p)
+    shrunk = written(_shrunk(stats.select("levels").distinct(), estimates, p), "shrunk")
+    stats = stats.join(shrunk, F.col("levels")[0] == F.col("g"), "left")
+    stats = stats.withColumn("distance", _distance(p) / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return stats.withColumn("kept", kept).select(key, *COUNTS, "base_failed", "distance", "kept")
 
@@ -162,8 +191,9 @@ def verdicts(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, i
     A text fails the floors with fewer than ``least_words`` words, or with more than
     ``repeat_percent`` percent of them in repeated 3-word windows. The others are held
     against the robust estimate of their language and source (nulls form groups of
-    their own), that of the language where LEAST_ROWS aren't there, then that of all
-    rows; without any the floors alone decide and distance is null. Null text has no
+    their own), from as few rows as there are, drawn towards that of the language and
+    this towards that of all rows, the more the fewer rows a group has; without any
+    sound row the floors alone decide and distance is null. Null text has no
     words and fails; repeated rows stay; an empty table gives no rows."""
     docs = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col))
     return _verdicts(statistics(docs, id_col, text_col, (lang_col, source_col)), least_words, repeat_percent, lang_col, source_col, id_col)

@@ -238,6 +238,17 @@ def test_quality_outliers(spark):
     assert all(r.kept for r in out if r.doc_id < 1000) and not any(r.kept for r in out if r.doc_id >= 1000)
 
 
+def test_quality_small_tables(spark):
+    """Fewer rows than 200, and a group of few rows whose usual text isn't its language's."""
+    rng = random.Random(6)
+    line = lambda n, w: " ".join(w + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, line(80, ""), "en", "s") for i in range(60)] + [(100 + i, line(80, "ABCDEF"), "en", "caps") for i in range(40)]
+    rows += [(200, line(80, "#*$%&|<>"), "en", "s")]
+    out = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not out[200]
+    assert sum(out[i] for i in range(60)) >= 57 and sum(out[100 + i] for i in range(40)) >= 38
+
+
 def test_substrings(docs, rows, empty):
     window = 35
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]
