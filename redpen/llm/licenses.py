@@ -62,20 +62,6 @@ def _template_rows(templates: dict[str, str], threshold: float, counts: dict[str
     return rows
 
 
-def _match(block: Column, label: str, words: list[str], least: int, prefix: int) -> Column:
-    """A struct (label, share) if the block, rare words first, contains the template."""
-    template, size = F.lit(words), len(words)
-
-    def by_position(common: Column) -> Column:
-        # both sides are in the same order: what follows the first common word bounds the overlap
-        bound = F.least(size - F.array_position(template, common[0]), F.size(block) - F.array_position(block, common[0])) + 1
-        overlap = F.size(common)
-        return F.when((bound >= least) & (overlap >= least), F.struct(F.lit(label).alias("label"), (overlap / size).alias("share")))
-
-    candidate = (F.size(block) >= least) & F.arrays_overlap(block, F.lit(words[:prefix]))
-    return F.when(candidate, _let(F.array_intersect(block, template), by_position))
-
-
 def _places(words: Column, parts: list[str]) -> Column:
     """Where the parts stand consecutively."""
 
@@ -88,24 +74,21 @@ def _places(words: Column, parts: list[str]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), here)
 
 
-def _matches(lines: Column, rows: list[tuple], counts: dict[str, int]) -> Column:
-    """Structs (label, share) of the templates whose words a line contains by the
-    threshold. A line's template words are held from rare to frequent; prefix, length
-    and position leave few pairs to count."""
-    ranked = sorted({w for r in rows for w in r[1]}, key=lambda w: (counts.get(w, 0), w))
-    known = F.lit(ranked)
-    prefixes = F.lit(sorted({w for r in rows for w in r[1][: r[3]]}))
-
-    def against(block: Column) -> Column:
-        return F.array_compact(F.array(*[_match(block, *r) for r in rows]))
+def _matches(words: Column, templates: dict[str, str], rows: list[tuple]) -> Column:
+    """Structs (label, share) of the templates of whose distinct words some window holds
+    the threshold. A window is half as long again as the template and begins at every
+    word, across line breaks; only texts that have enough of a template's words at all,
+    the rarest in its prefix among them, are cut into windows."""
 
-    def one(line: Column) -> Column:
-        words = _words(line)
-        touched = F.arrays_overlap(words, prefixes)
-        # the intersection takes the order of its first side: rare words first
-        return F.when(touched, _let(F.array_intersect(known, words), against)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    def one(label: str, kinds: list[str], least: int, prefix: int) -> Column:
+        template, width = F.lit(kinds), ceil(1.5 * len(templates[label].split()))
+        candidate = F.arrays_overlap(words, F.lit(kinds[:prefix])) & (F.size(F.array_intersect(words, template)) >= least)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, width), template))))
+        share = _let(best, lambda n: F.when(n >= least, F.struct(F.lit(label).alias("label"), (n / len(kinds)).alias("share"))))
+        return F.when(candidate, share)
 
-    return F.flatten(F.transform(lines, one))
+    return F.array_compact(F.array(*[one(*r) for r in rows]))
 
 
 def scan(
@@ -119,11 +102,12 @@ def scan(
     """One row for each input row: the id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
 
-    Phrases are found where their words stand consecutively. A block is a line; it
-    matches a template of which it contains at least ``threshold`` of the distinct
-    words, exactly: the join runs over word sets ordered by their frequency in all
-    documents, with prefix, length and positional filters, beside each row, since the
-    templates are few and fixed (nothing is shuffled but the vocabulary's counts).
+    Phrases are found where their words stand consecutively. A block is a window of
+    words half as long again as the template, at every place of the text and across line
+    breaks; it matches a template of which it contains at least ``threshold`` of the
+    distinct words, exactly. The join runs beside each row, with prefix and length
+    filters over words ordered by their frequency in all documents, since the templates
+    are few and fixed (nothing is shuffled but the vocabulary's counts).
     ``score`` is 1 for a phrase, else the largest contained share of a matching
     template, else 0. Null text is empty (no words, empty labels, null places); null
     ids and repeated rows stay; an empty table gives no rows."""
@@ -144,7 +128,7 @@ def scan(
         id_col,
         F.size("words").cast("bigint").alias("n_words"),
         *[c.alias(n) for n, c in places.items()],
-        F.when(touched, _matches(F.split("low", "\n"), rows, counts)).otherwise(none).alias("found"),
+        F.when(touched, _matches(F.col("words"), templates, rows)).otherwise(none).alias("found"),
     )
     every = F.concat(*places)
     base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))

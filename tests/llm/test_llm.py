@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -376,6 +377,16 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    wrap = lambda label: "\n".join(textwrap.wrap("Some words. " + licenses.TEMPLATES[label], 60))
+    labels = sorted(licenses.TEMPLATES)
+    apart = " ".join(w + " lorem" * 30 for w in licenses.TEMPLATES["mit"].split())
+    texts = [wrap(x) for x in labels] + [apart]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert all(x in out[i].labels.split(",") and out[i].score == 1.0 for i, x in enumerate(labels))
+    assert not out[len(labels)].labels and out[len(labels)].score == 0.0
+
+
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = bpe.ByteModel(path).library
