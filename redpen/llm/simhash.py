@@ -304,6 +304,7 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list
             places.setdefault(x, []).append(i)
     held = {x: np.array(p) for x, p in places.items() if len(p) > 1}
     left = np.ones(len(sets), bool)
+    kept = len(sets)
     a, b = [], []
     for start in range(len(sets)):
         if not left[start]:
@@ -321,6 +322,9 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list
             a += [i] * len(near)
             b += near.tolist()
             queue += near.tolist()
+            if 2 * np.count_nonzero(left) < kept:  # those that are linked need no more comparing
+                kept = np.count_nonzero(left)
+                held = {x: p for x, p in ((x, p[left[p]]) for x, p in held.items()) if len(p)}
     return a, b
 
 
