@@ -87,9 +87,9 @@ def _drop(spark, table: str) -> None:
         pass
 
 
-def repeated_anchors(table: DataFrame, codes_of: Callable[[str], np.ndarray], window: int, k: int) -> DataFrame:
-    """For each text with anchors that stand twice or more: rid and ``spans``, structs
-    (first, last, at, anchor, n); n counts the anchor's places in the corpus."""
+def repeated_anchors(table: DataFrame, codes_of: Callable[[str], np.ndarray], window: int, k: int, fields: tuple[str, ...] = ("first", "last")) -> DataFrame:
+    """For each text with anchors that stand twice or more: rid and ``spans``, structs of
+    the fields: first, last, at, anchor, n; n counts the anchor's places in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +101,10 @@ def repeated_anchors(table: DataFrame, codes_of: Callable[[str], np.ndarray], wi
                 h, first, last, at = (np.concatenate([g[j] for g in got]) for j in range(4))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, sizes)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["rid", "first", "last", "at", "anchor"])
 
-    places = written(table.select("rid", "text").mapInArrow(run, "rid bigint, first int, last int, at int, anchor bigint"), "anchors")
+    places = table.select("rid", "text").mapInArrow(run, "rid bigint, first int, last int, at int, anchor bigint")
+    places = written(places.select("rid", "anchor", *[c for c in ("first", "last", "at") if c in fields]), "anchors")
     counts = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    return places.join(counts, "anchor").groupBy("rid").agg(F.collect_list(F.struct("first", "last", "at", "anchor", "n")).alias("spans"))
+    return places.join(counts, "anchor").groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("spans"))
 
 
 def starts_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -156,35 +157,29 @@ def questions(rid: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.ndarray
 def answers(asked: DataFrame) -> DataFrame:
     """Runs (rid, start, n) of repeated windows: hashes that two slices ask for, or one
     that saw it twice, and the runs that slices knew. Rows are sorted by hash in each
-    partition and read as a stream."""
-
-    def settle(x: list[np.ndarray]) -> pa.RecordBatch:
-        h1, h2, rid, start, n = x
-        known = n > 0
-        order = np.lexsort((h2, h1))
-        order = order[~known[order]]
-        a, b = h1[order], h2[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) if len(a) else np.zeros(0, bool)
-        hit = np.r_[same, False] | np.r_[False, same] if len(a) else np.zeros(0, bool)
-        found = order[hit & (n[order] == 0)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[rid[known], rid[found]]), pa.array(np.r_[start[known], start[found]]), pa.array(np.r_[n[known], np.ones(len(found), np.int32)])], names=["rid", "start", "n"]
-        )
+    partition and read as a stream of which the last row alone is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        last, last_hit = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)], False
         for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            if cut:
-                yield settle([x[:cut] for x in now])
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield settle(held)
-
-    return asked.repartition("h1").sortWithinPartitions("h1").mapInArrow(run, "rid bigint, start int, n int")
+            columns = [c.to_numpy() for c in batch.columns]
+            told = columns[4] > 0
+            h1, h2, rid, start, n = (np.r_[x, c[~told]] for x, c in zip(last, columns, strict=True))
+            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            hit = np.r_[same, False][: len(h1)] | np.r_[False, same][: len(h1)]
+            if last_hit and len(hit):
+                hit[0] = True
+            last, last_hit = [x[-1:] for x in (h1, h2, rid, start, n)], bool(len(hit) and hit[-1])
+            found = np.flatnonzero(hit[:-1] & (n[:-1] == 0))
+            yield _found(np.r_[columns[2][told], rid[found]], np.r_[columns[3][told], start[found]], np.r_[columns[4][told], np.ones(len(found), np.int32)])
+        if last_hit and last[4][0] == 0:
+            yield _found(last[2], last[3], np.ones(1, np.int32))
+
+    return asked.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(run, "rid bigint, start int, n int")
+
+
+def _found(rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start), pa.array(n)], names=["rid", "start", "n"])
 
 
 def covered(size: int, start: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from redpen.llm import bpe, fingerprints, licenses, lm, nbest, packing, quality, repeats, simhash, substrings, suffixes, token_counts
+from redpen.llm import bpe, fingerprints, licenses, lm, nbest, packing, quality, simhash, substrings, suffixes, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, row int, id int, bin string, words string"
 
@@ -116,27 +116,58 @@ def test_token_counts_random():
     assert token_counts.count_texts(path, pa.array(texts, pa.large_string())).tolist() == [len(x) for x in library.encode(texts)]
 
 
+def _n_best(lattice, text, n):
+    """The n best scores by taking every piece at every place."""
+    best = [[0.0]]
+    for j in range(1, len(text) + 1):
+        sums = []
+        for i in range(max(0, j - lattice.longest), j):
+            part = text[i:j]
+            if part in lattice.pieces or j == i + 1:
+                price = lattice.pieces[part][1] if part in lattice.pieces else lattice.unknown
+                sums += [x + price for x in best[i]]
+        best.append(sorted(sums, reverse=True)[:n])
+    return best[-1]
+
+
 def test_nbest(docs, rows, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lattice = nbest.PieceLattice(path)
-
-    def brute(text, n):
-        text = "▁" + text.replace(" ", "▁")
-        edges = lattice.edges(text)
-        best = [[0.0]]
-        for j in range(1, len(text) + 1):
-            best.append(sorted((x + s for i, s, _ in edges[j] for x in best[i]), reverse=True)[:n])
-        return best[-1]
-
     out = nbest.encoded(docs, path).collect()
     assert len(out) == len(rows) and all(r.round_trip for r in out)
     by_id = {r[0]: r[1] for r in rows if r[0] is not None and r[0] < 200}
     for r in out:
         if r.doc_id in by_id and 0 < len(by_id[r.doc_id] or "") < 400:
-            assert np.allclose(r.scores, brute(by_id[r.doc_id], 3)), by_id[r.doc_id]
+            assert np.allclose(r.scores, _n_best(lattice, "▁" + by_id[r.doc_id].replace(" ", "▁"), 3)), by_id[r.doc_id]
     assert nbest.encoded(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_nbest_random(n):
+    import pyarrow as pa
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lattice = nbest.PieceLattice(path)
+    rng = random.Random(n)
+    parts = ["the", "in", "g", "é", "😀", " ", "  ", "\n", "abra", "▁", "z", "日"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 90))) for _ in range(150)] + ["a" * 200, "😀a" * 90]
+    for text, (scores, ids) in zip(texts, nbest.segment(path, pa.array(texts, pa.large_string()), n), strict=True):
+        assert np.allclose(scores, _n_best(lattice, "▁" + text.replace(" ", "▁"), n)), text
+        assert lattice.decode(ids.tolist()) == text.replace("▁", " ")
+
+
+@pytest.mark.parametrize("text", ["😀" * 3000, "日本" * 1500, "a😀" * 3000, "日本語" * 333_334, "a" * 10_000], ids=["emoji", "pairs", "mixed", "million", "letter"])
+def test_nbest_without_spaces(text):
+    import pyarrow as pa
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ((scores, ids),) = nbest.segment(path, pa.array([text], pa.large_string()), 3)
+    lattice = nbest.PieceLattice(path)
+    assert lattice.decode(ids.tolist()) == text
+    if len(text) <= 10_000:
+        assert np.allclose(scores, _n_best(lattice, "▁" + text, 3))
+
+
 def test_lm(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = lm.scores(docs, path).collect()
@@ -270,11 +301,28 @@ def test_substrings(docs, rows, empty):
 
 
 def test_compacted_paths(spark):
-    passage = " ".join(f"w{i}" for i in range(50))
-    docs = spark.createDataFrame([(1, "a " + passage), (2, passage + " b"), (3, "c d")], "doc_id bigint, text string")
-    table = repeats.bucketed(docs, "text", "test")
-    paths = substrings.compacted(substrings.repeated_edges(table, 35), table, 35).collect()
-    assert [(r.n_places, r.n_words) for r in paths] == [(2, 50)]
+    p, q = (" ".join(f"{x}{i}" for i in range(50)) for x in "pq")
+    docs = spark.createDataFrame([(1, "a " + p), (2, p + " b"), (3, "c d"), (None, None)], "doc_id bigint, text string")
+    assert [(r.n_places, r.n_words, r.text) for r in substrings.compacted(docs).collect()] == [(2, 50, p)]
+    # a path that another source leaves, or joins, is parted there
+    docs = spark.createDataFrame([(1, f"{p} {q}"), (2, f"x {p} {q}"), (3, f"{p} y")], "doc_id bigint, text string").repartition(3)
+    assert sorted((r.n_places, r.n_words) for r in substrings.compacted(docs).collect()) == [(2, 84), (3, 50)]
+    assert substrings.compacted(docs.limit(0)).count() == 0
+
+
+def test_compacted_places(spark):
+    """Every edge of the repeated paths has the path's number of places, and none is left out."""
+    rng = random.Random(4)
+    parts = [[f"{x}{rng.randrange(50)}" for _ in range(rng.randint(3, 12))] for x in "abcdefg"]
+    texts = [" ".join(w for _ in range(rng.randint(0, 8)) for w in rng.choice(parts)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    grams = Counter(tuple(t.split()[i : i + 6]) for t in texts for i in range(len(t.split()) - 5))
+    found = Counter()
+    for r in substrings.compacted(docs, window=6).collect():
+        words = r.text.split()
+        assert len(words) == r.n_words and texts[r.doc_id].split()[r.first_word : r.first_word + r.n_words] == words
+        found.update({tuple(words[i : i + 6]): r.n_places for i in range(len(words) - 5)})
+    assert found == Counter({g: n for g, n in grams.items() if n > 1})
 
 
 def test_suffixes(docs, rows, empty):
