@@ -15,11 +15,19 @@ from .common import map_texts, written
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 MARKS = b"!?\"'()-/:;=@[\\]^_`{}~+"
-#: Deviation that every dimension has at least: shares below it don't tell texts apart.
-FLOOR = np.array([0.12, 0.05, 0.12, 0.25, 0.20, 0.10])
+#: Letters of a word and words of a line, about, for the sampling errors below.
+WORD_CHARS, LINE_WORDS = 6, 10
 #: Share of a group that the estimate rests on.
 CORE = 0.75
 STEPS = 4
+#: What the covariance of the CORE share of least distance is multiplied by to be that
+#: of all, for six normal dimensions: CORE / P(chi2(8) <= the CORE quantile of chi2(6)).
+CONSISTENCY = 1.3616
+#: Deterministic starts of the concentration steps.
+STARTS = ("medians", "signs", "ranks")
+#: Groups up to which the table of estimates (350 bytes a group and start) is broadcast;
+#: beyond it, it is joined, each group dealt over SALTS tasks.
+BROADCAST_GROUPS, SALTS = 50_000, 64
 #: Rows that the parent's estimate counts as beside a group's own: that of all rows
 #: beside a language's, that beside a source's.
 PRIOR_ROWS = 12
@@ -75,6 +83,14 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(docs, per_slice, kinds + ", ".join(f"{c} bigint" for c in COUNTS), id_col, text_col, also)
 
 
+def tolerance(least_words: int) -> np.ndarray:
+    """The deviation that every dimension has at least: the sampling error of the shortest
+    text that passes the floors. An angle of a share of m has an error of 1 / (2 sqrt(m));
+    a mean word length, whose deviation is about half of it, 1 / (2 sqrt(words))."""
+    chars, lines = WORD_CHARS * least_words, max(1.0, least_words / LINE_WORDS)
+    return 0.5 / np.sqrt(np.array([least_words, chars, chars, least_words, lines, chars]))
+
+
 def _vector() -> list[Column]:
     """The transformed statistics: log mean word length and angles of shares, which
     spread shares near zero evenly."""
@@ -89,34 +105,120 @@ def _vector() -> list[Column]:
     ]
 
 
-def _distance(p: int) -> Column:
+P = 6
+_Z = [f"z{i}" for i in range(P)]
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance of z0.. to the group's centre under its inverse."""
-    d = [F.col(f"z{i}") - F.col("centre")[i] for i in range(p)]
-    terms = [d[i] * d[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
+    d = [F.col(z) - F.col("centre")[i] for i, z in enumerate(_Z)]
+    terms = [d[i] * d[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
     return sum(terms[1:], terms[0])
 
 
-def _estimates(moments: DataFrame, p: int) -> DataFrame:
-    """Centres and inverse covariances from sums; a floor on each variance keeps
-    degenerate dimensions invertible."""
+def _with_groups(rows: DataFrame, table: DataFrame, n_groups: int, on: str = "g") -> DataFrame:
+    """``rows`` (with a salt) beside the row of ``table`` of their group. The table of few
+    groups is broadcast, so rows stay where they are; one of many is copied SALTS times
+    and joined by group and salt, so no task gets more than a share of any group."""
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), on)
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, "salt"])
+
+
+def _moments(values: list[Column]) -> list[Column]:
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)]
+    return [F.count("*").alias("n"), *sums, *[F.sum(values[i] * values[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]]
+
+
+def _covariance(r) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a row of moments."""
+    m = np.array([getattr(r, f"s{i}") for i in range(P)]) / r.n
+    c = np.empty((P, P))
+    for i in range(P):
+        for j in range(i, P):
+            c[i, j] = c[j, i] = getattr(r, f"s{i}_{j}") / r.n - m[i] * m[j]
+    return m, c
+
+
+_ESTIMATE = "g string, start string, centre array<double>, inverse array<double>, log_det double, n bigint"
+
+
+def _starts(rows: DataFrame, n_groups: int, floor: np.ndarray) -> DataFrame:
+    """A centre and an inverse covariance of each start for every group: the floored
+    deviations from the medians without any correlation (medians); the shape of the
+    vectors' directions from there, which no length can draw (signs); that of their
+    squashed coordinates (ranks)."""
+    middle = rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 10000).alias(f"m{i}") for i, c in enumerate(_Z)])
+    middle = written(middle, "medians")
+    apart = _with_groups(rows, middle, n_groups).select("g", *[F.abs(F.col(z) - F.col(f"m{i}")).alias(z) for i, z in enumerate(_Z)])
+    spread = apart.groupBy("g").agg(*[F.greatest(F.lit(float(floor[i])), 1.4826 * F.percentile_approx(c, 0.5, 10000)).alias(f"d{i}") for i, c in enumerate(_Z)])
+    scales = written(middle.join(spread, "g"), "scales")
+    unit = [(F.col(z) - F.col(f"m{i}")) / F.col(f"d{i}") for i, z in enumerate(_Z)]
+    scaled = _with_groups(rows, scales, n_groups).select("g", *[u.alias(z) for z, u in zip(_Z, unit, strict=True)])
+    norm = F.greatest(F.lit(1e-9), F.sqrt(sum((F.col(z) * F.col(z) for z in _Z[1:]), F.col(_Z[0]) * F.col(_Z[0]))))
+    shapes = None
+    for name, value in (("signs", lambda z: F.col(z) / norm), ("ranks", lambda z: F.tanh(F.col(z)))):
+        part = scaled.select("g", *[value(z).alias(z) for z in _Z]).groupBy("g").agg(*_moments([F.col(z) for z in _Z])).withColumn("start", F.lit(name))
+        shapes = part if shapes is None else shapes.unionByName(part)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in parts:
+            out = []
+            for r in held.itertuples(index=False):
+                m, d = (np.array([getattr(r, f"{x}{i}") for i in range(P)]) for x in "md")
+                _, c = _covariance(r)
+                own = np.sqrt(np.diag(c) + 1e-6)
+                inverse = np.linalg.inv((c / np.outer(own, own) + 0.01 * np.eye(P)) * np.outer(d, d))
+                out.append((r.g, r.start, m.tolist(), inverse.ravel().tolist(), 0.0, r.n))
+                if r.start == "signs":
+                    out.append((r.g, "medians", m.tolist(), np.diag(d**-2.0).ravel().tolist(), 0.0, r.n))
+            yield pd.DataFrame(out, columns=["g", "start", "centre", "inverse", "log_det", "n"])
+
+    return written(shapes.join(scales, "g").mapInPandas(run, _ESTIMATE), "starts")
+
+
+def _estimates(moments: DataFrame, floor: np.ndarray) -> DataFrame:
+    """Centres and inverse covariances from the moments of a core; the floor on each
+    variance keeps degenerate dimensions invertible."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             out = []
             for r in rows.itertuples(index=False):
-                m = np.array([getattr(r, f"s{i}") for i in range(p)]) / r.n
-                c = np.empty((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        c[i, j] = c[j, i] = getattr(r, f"s{i}_{j}") / r.n - m[i] * m[j]
-                c += np.diag(FLOOR**2)
-                out.append((r.g, m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1]), r.n))
-            yield pd.DataFrame(out, columns=["g", "centre", "inverse", "log_det", "n"])
-
-    return moments.mapInPandas(run, "g string, centre array<double>, inverse array<double>, log_det double, n bigint")
+                m, c = _covariance(r)
+                c = CONSISTENCY * c + np.diag(floor**2)
+                out.append((r.g, r.start, m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1]), r.n))
+            yield pd.DataFrame(out, columns=["g", "start", "centre", "inverse", "log_det", "n"])
+
+    return moments.mapInPandas(run, _ESTIMATE)
+
+
+def robust_estimates(rows: DataFrame, floor: np.ndarray) -> DataFrame:
+    """Minimum-covariance-determinant estimates by group ``g`` of vectors z0.. (beside a
+    ``salt``): from each of STARTS, concentration steps keep the CORE share of least
+    distance and estimate anew, which doesn't raise the determinant of the core's
+    covariance; of the starts' ends the one of least determinant is taken (the floored
+    covariances are compared). Every step is two aggregations with partial sums, the rows
+    stay in place; quantiles are sketches of 1e-4 accuracy."""
+    n_groups = rows.select("g").distinct().count()
+    now = _starts(rows, n_groups, floor)
+    for _ in range(STEPS):
+        packed = now.groupBy("g").agg(F.collect_list(F.struct("start", "centre", "inverse")).alias("all"))
+        scored = _with_groups(rows, packed, n_groups).select("g", *_Z, F.explode("all").alias("one")).select("g", "one.start", "one.centre", "one.inverse", *_Z)
+        scored = scored.select("g", "start", *_Z, _distance().alias("d"))
+        limits = written(scored.groupBy("g", "start").agg(F.percentile_approx("d", CORE, 10000).alias("limit")), "limits")
+        packed = now.join(limits, ["g", "start"]).groupBy("g").agg(F.collect_list(F.struct("start", "centre", "inverse", "limit")).alias("all"))
+        core = _with_groups(rows, packed, n_groups).select("g", *_Z, F.explode("all").alias("one")).select("g", "one.start", "one.centre", "one.inverse", "one.limit", *_Z)
+        core = core.where(_distance() <= F.col("limit")).groupBy("g", "start").agg(*_moments([F.col(z) for z in _Z]))
+        now = written(_estimates(core, floor), "estimates")
+    best = now.groupBy("g").agg(F.min_by(F.struct("centre", "inverse", "n"), F.struct("log_det", "start")).alias("b"))
+    best = written(best.select("g", "b.centre", "b.inverse", "b.n"), "best")
+    scored = _with_groups(rows, best, n_groups).select("g", _distance().alias("d"))
+    scale = scored.groupBy("g").agg(F.percentile_approx("d", 0.5, 10000).alias("middle"))
+    return written(best.join(scale, "g").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / MEDIAN)).drop("middle"), "robust")
 
 
-def _shrunk(levels: DataFrame, estimates: DataFrame, p: int) -> DataFrame:
+def _shrunk(levels: DataFrame, estimates: DataFrame) -> DataFrame:
     """Estimates by the first of ``levels``: each level's own, drawn towards the next
     one's as if that had PRIOR_ROWS rows, so a group of few rows passes over to its own
     estimate by degrees. Rows (g, centre, inverse, scale)."""
@@ -132,7 +234,7 @@ def _shrunk(levels: DataFrame, estimates: DataFrame, p: int) -> DataFrame:
                 for k in (2, 1, 0):
                     if r[f"centre{k}"] is None:
                         continue
-                    m, c = np.array(r[f"centre{k}"]), np.linalg.inv(np.array(r[f"inverse{k}"]).reshape(p, p))
+                    m, c = np.array(r[f"centre{k}"]), np.linalg.inv(np.array(r[f"inverse{k}"]).reshape(P, P))
                     if centre is None:
                         centre, spread, scale = m, c, r[f"scale{k}"]
                         continue
@@ -147,42 +249,22 @@ def _shrunk(levels: DataFrame, estimates: DataFrame, p: int) -> DataFrame:
     return levels.mapInPandas(run, "g string, centre array<double>, inverse array<double>, scale double")
 
 
-def robust_estimates(rows: DataFrame, p: int) -> DataFrame:
-    """Minimum-covariance-determinant estimates by group ``g`` of vectors z0..: from the
-    medians and floored deviations, concentration steps keep the CORE share of least
-    distance and estimate anew, which never raises the determinant. Every step is two
-    aggregations with partial sums; quantiles are sketches of 1e-4 accuracy."""
-    z = [f"z{i}" for i in range(p)]
-    start = rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in z])
-    diagonal = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(p)]
-    now = written(start.select("g", F.array(*z).alias("centre"), F.array(*diagonal).alias("inverse")), "start")
-    for _ in range(STEPS):
-        scored = rows.join(now, "g").select("g", *z, _distance(p).alias("d"))
-        limits = written(scored.groupBy("g").agg(F.percentile_approx("d", CORE, 10000).alias("limit")), "limits")
-        core = rows.join(now.join(limits, "g"), "g").where(_distance(p) <= F.col("limit"))
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(z)]
-        sums += [F.sum(F.col(z[i]) * F.col(z[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-        now = written(_estimates(core.groupBy("g").agg(F.count("*").alias("n"), *sums), p), "estimates")
-    scored = rows.join(now, "g").select("g", _distance(p).alias("d"))
-    scale = scored.groupBy("g").agg(F.percentile_approx("d", 0.5, 10000).alias("middle"))
-    return written(now.join(scale, "g").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / MEDIAN)).drop("middle"), "robust")
-
-
 def _verdicts(stats: DataFrame, least_words: int, repeat_percent: int, lang_col: str, source_col: str, key: str) -> DataFrame:
     """``stats`` with base_failed, distance and kept."""
-    p = len(FLOOR)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed).withColumns({f"z{i}": c for i, c in enumerate(_vector())})
+    stats = stats.withColumn("base_failed", failed).withColumns(dict(zip(_Z, _vector(), strict=True)))
     levels = [F.to_json(F.struct(F.lit(2).alias("k"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"))), F.to_json(F.struct(F.lit(1).alias("k"), F.col(lang_col).alias("l"))), F.lit("{}")]
-    stats = written(stats.withColumn("levels", F.array(*levels)), "stats")
-    z = [f"z{i}" for i in range(p)]
-    sound = stats.where(~F.col("base_failed")).select(F.explode("levels").alias("g"), *z)
-    estimates = robust_estimates(written(sound, "vectors"), p)
-    shrunk = written(_shrunk(stats.select("levels").distinct(), estimates, p), "shrunk")
-    stats = stats.join(shrunk, F.col("levels")[0] == F.col("g"), "left")
-    stats = stats.withColumn("distance", _distance(p) / F.col("scale"))
+    salt = F.pmod(F.xxhash64(*_Z, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    stats = written(stats.withColumn("levels", F.array(*levels)).withColumn("salt", salt), "stats")
+    sound = written(stats.where(~F.col("base_failed")).select(F.explode("levels").alias("g"), "salt", *_Z), "vectors")
+    floor = tolerance(least_words)
+    shrunk = written(_shrunk(stats.select("levels").distinct(), robust_estimates(sound, floor)), "shrunk")
+    stats = stats.withColumn("g", F.col("levels")[0])
+    # without any sound row there is no estimate, and the floors alone decide
+    judged = _with_groups(stats, shrunk, shrunk.count()) if shrunk.take(1) else stats.withColumns({"centre": F.lit(None).cast("array<double>"), "inverse": F.lit(None).cast("array<double>"), "scale": F.lit(None).cast("double")})
+    judged = judged.withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return stats.withColumn("kept", kept).select(key, *COUNTS, "base_failed", "distance", "kept")
+    return judged.withColumn("kept", kept).select(key, *COUNTS, "base_failed", "distance", "kept")
 
 
 def verdicts(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
