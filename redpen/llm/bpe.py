@@ -265,41 +265,44 @@ class ByteModel:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.strange = regex.compile(self.SAFE)
 
+    #: Words of letters alone, perhaps with one mark behind: pre-tokens by their look.
+    PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[.,]?$"
+
     def encode_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks (words with the space before them, if any), flat, and lengths."""
+        words = pa.array(chunks, pa.large_string())
+        plain = pc.match_substring_regex(words, self.PLAIN).to_numpy(zero_copy_only=False)
+        kept = words.filter(pa.array(plain))
+        sizes = pc.binary_length(kept).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.frombuffer(kept.buffers()[2] or b"", np.uint8)[: int(sizes.sum())]
+        marked = held[np.cumsum(sizes) - 1] < 0x30 if len(sizes) else np.zeros(0, bool)  # only "." and "," are that low at an end
+        lengths = np.repeat(sizes, 1 + marked)
+        ends = np.cumsum(1 + marked) - 1
+        lengths[ends[marked] - 1] -= 1
+        lengths[ends[marked]] = 1
+        owner = np.repeat(np.flatnonzero(plain), 1 + marked)
         pieces: list[bytes] = []
-        owner: list[int] = []
-        odd: dict[int, list[int]] = {}
+        others: list[int] = []
+        odd: list[tuple[int, list[int]]] = []
         find = self.pattern.findall
-        for i, c in enumerate(chunks):
+        for i in np.flatnonzero(~plain).tolist():
+            c = chunks[i]
             if not c.isascii() and self.strange.search(c):
-                odd[i] = self.library.encode(c, add_special_tokens=False).ids
+                odd.append((i, self.library.encode(c, add_special_tokens=False).ids))
                 continue
-            body = c[1:] if c[:1] == " " else c
-            if body.isalpha():
-                pieces.append(c.encode())
-                owner.append(i)
-            elif c[-1:] in ".," and body[:-1].isalpha():
-                pieces += [c[:-1].encode(), c[-1:].encode()]
-                owner += [i, i]
-            else:
-                got = find(c)
-                pieces += [p.encode() for p in got]
-                owner += [i] * len(got)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        symbols = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        ids, left = merge(self.table, symbols, lengths)
-        sizes = np.zeros(len(chunks), np.int64)
-        np.add.at(sizes, np.array(owner, np.int64), left)
-        if not odd:
-            return ids, sizes
-        ends = np.cumsum(sizes)
-        parts, last = [], 0
-        for i, got in odd.items():
-            parts += [ids[last : ends[i]], np.array(got, np.int32)]
-            last = ends[i]
-            sizes[i] = len(got)
-        return np.concatenate([*parts, ids[last:]]), sizes
+            got = find(c)
+            pieces += [p.encode() for p in got]
+            others += [i] * len(got)
+        symbols = self.first[np.r_[held, np.frombuffer(b"".join(pieces), np.uint8)]]
+        ids, left = merge(self.table, symbols, np.r_[lengths, np.fromiter(map(len, pieces), np.int64, len(pieces))])
+        owner = np.repeat(np.r_[owner, np.array(others, np.int64)], left)
+        if odd:
+            ids = np.r_[ids, np.array([t for _, x in odd for t in x], np.int32)]
+            owner = np.r_[owner, np.repeat([i for i, _ in odd], [len(x) for _, x in odd])]
+        out = np.bincount(owner, minlength=len(chunks)).astype(np.int64)
+        if pieces or odd:
+            ids = ids[np.argsort(owner, kind="stable")]
+        return ids, out
 
 
 def _byte_letters() -> list[str]:

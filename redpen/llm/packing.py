@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BARE, ByteModel, chunk_of, words_of
-from .common import map_texts, ragged_arange
+from .common import ragged_arange, slices, texts_of, written
 
 MEMO_WORDS = 400_000
+#: Bytes of text that are encoded at once.
+SLICE = 12 << 20
 #: Documents that are packed together; each group leaves one sequence short at most.
 GROUP_DOCS = 1024
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (a layer's matrices
@@ -62,6 +65,25 @@ def _lookup(path: str, words: list[str]) -> tuple[_Memo, np.ndarray]:
     return memo, np.fromiter(map(memo.place.__getitem__, words), np.int64, len(words))
 
 
+#: Bytes of white space, or of marks used here, that the split at spaces doesn't know;
+#: and first bytes of the characters that may be white space beyond ASCII.
+_STRANGE = np.isin(np.arange(256), [*BARE.encode(), 0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)])
+_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _unusual(texts: pa.Array) -> pa.Array:
+    """Whether each text has white space other than spaces and line feeds, or BARE."""
+    texts = pa.concat_arrays([texts])  # offsets from 0
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    has = lambda table: np.diff(np.searchsorted(np.flatnonzero(table[data]), offsets - offsets[0])) > 0
+    odd, wide = has(_STRANGE), has(_WIDE)
+    if wide.any():
+        odd[wide] |= pc.match_substring_regex(texts.filter(pa.array(wide)), _WIDE_SPACE).to_numpy(zero_copy_only=False)
+    return pa.array(odd)
+
+
 def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, flat, and how many each has, as the tokenizers library gives
     them without added special tokens.
@@ -72,11 +94,10 @@ def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if path not in _models:
         _models[path] = ByteModel(path), {"memo": _Memo()}
     model = _models[path][0]
-    odd = pc.match_substring(texts, "  ")
-    for a in ("\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " \n", "\n ", "\n\n", BARE, *model.special):
+    odd = _unusual(texts)
+    for a in ("  ", " \n", "\n ", "\n\n", *model.special):
         odd = pc.or_(odd, pc.match_substring(texts, a))
     odd = pc.or_(odd, pc.ends_with(texts, " "))
-    odd = pc.or_(odd, pc.match_substring_regex(texts, r"[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
     plain = pc.invert(odd).to_numpy(zero_copy_only=False)
     sizes, distinct, place = words_of(texts.filter(pa.array(plain)))
     memo, at = _lookup(path, distinct.to_numpy(zero_copy_only=False).tolist())
@@ -98,22 +119,33 @@ def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, flat[last:]]), lengths
 
 
-def tokenised(docs: DataFrame, model_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: the id and ``ids``, unsigned little-endian 32-bit
-    integers as binary, with ``end_id`` last. Null text is empty: the end alone."""
-
-    def per_slice(batch: pa.RecordBatch, texts: pa.Array) -> dict:
-        flat, lengths = encode_texts(model_path, texts)
-        ends = np.cumsum(lengths)
-        whole = np.full(len(flat) + len(texts), end_id, "<u4")
-        own = np.ones(len(whole), bool)
-        own[ends + np.arange(len(texts))] = False
-        whole[own] = flat
-        offsets = np.r_[0, (ends + np.arange(1, len(texts) + 1)) * 4].astype(np.int32)
-        return {id_col: batch.column(0), "ids": pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])}
-
+def _pieces(docs: DataFrame, model_path: str, room: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """The ids of every document with ``end_id`` last, as unsigned little-endian 32-bit
+    integers, cut after every ``room``: the id, start, length, ids_crc32, doc_tokens, ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, per_slice, f"`{id_col}` {kind}, ids binary", id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch, text_col)
+            for a, b in slices(texts, SLICE):
+                flat, lengths = encode_texts(model_path, texts.slice(a, b - a))
+                ends = np.cumsum(lengths) + np.arange(b - a)
+                whole = np.full(len(flat) + b - a, end_id, "<u4")
+                own = np.ones(len(whole), bool)
+                own[ends] = False
+                whole[own] = flat
+                many = -(-(lengths + 1) // room)
+                of, start = np.repeat(np.arange(b - a), many), room * ragged_arange(many)
+                size = np.minimum(lengths[of] + 1 - start, room)
+                edges = np.r_[0, np.cumsum(size)]
+                raw = memoryview(whole.view(np.uint8))
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                ids = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(whole)])
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(of)), start, size, np.array(crc, np.int64), lengths[of] + 1, ids]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "ids"])
+
+    schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def cost(n: float) -> float:
@@ -170,50 +202,40 @@ def pack(docs: DataFrame, model_path: str, room: int = 1024, end_id: int = 0, id
     the id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids``
     (binary, little-endian unsigned 32-bit).
 
-    Every whole ``room`` tokens of a document fill a sequence of their own. What is
-    left over is packed within groups of about GROUP_DOCS documents, dealt by a hash of
-    id and ids, so a group is bounded however the ids are skewed; each group leaves one
-    sequence short at most. Null text is empty and has the end id alone; repeated rows
-    are documents of their own; null ids stay null; an empty table gives no rows."""
-    spark = docs.sparkSession
+    Every whole ``room`` tokens of a document fill a sequence of their own, where the
+    document is tokenised. The tails, shorter than ``room``, are packed in groups of about
+    GROUP_DOCS, dealt by a hash of id, ids and place, so a group holds GROUP_DOCS * room
+    tokens or so however ids and texts are skewed, and however long; each group leaves
+    one sequence short at most. Sequence numbers are unique but have gaps. Ties in length
+    go by id (null last), then the ids' checksum. Null text is empty and has the end id
+    alone; repeated rows are documents of their own; null ids stay null; an empty table
+    gives no rows; other columns aren't read."""
     kind = docs.schema[id_col].dataType.simpleString()
     groups = max(1, -(-docs.count() // GROUP_DOCS))
-    ids = tokenised(docs, model_path, end_id, id_col, text_col)
-    # the salt parts repeated rows, which share id and ids
-    dealt = ids.select(
-        F.col(id_col),
-        "ids",
-        F.pmod(F.xxhash64(F.col(id_col), F.crc32("ids"), F.monotonically_increasing_id() % 64), F.lit(groups)).alias("bin"),
-    )
+    pieces = written(_pieces(docs, model_path, room, end_id, id_col, text_col), "pieces")
+    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    full = pieces.where(F.col("length") == room).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("bigint"))
+    salt = F.xxhash64(F.col(id_col), "ids_crc32", F.monotonically_increasing_id())
+    tails = pieces.where(F.col("length") < room).withColumn("bin", F.pmod(salt, F.lit(groups)))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        group = int(key[0])
-        texts = rows["ids"].tolist()
-        name = rows[id_col].tolist()
-        order = sorted(range(len(texts)), key=lambda i: (name[i] is None or name[i] != name[i], name[i] if name[i] is not None else 0, zlib.crc32(texts[i])))
-        size = [len(texts[i]) // 4 for i in order]
-        out, local = [], 0
-        for k, n in enumerate(size):
-            for start in range(0, n - room + 1, room):
-                out.append((k, start, room, local, 0))
-                local += 1
-        tail = [k for k, n in enumerate(size) if n % room]
-        for d, start, n, s, offset in assign([size[k] % room for k in tail], room):
-            k = tail[d]
-            out.append((k, size[k] // room * room + start, n, local + s, offset))
-        body = [texts[order[k]][4 * start : 4 * (start + n)] for k, start, n, _, _ in out]
+        missing = rows[id_col].isna()
+        rows = rows.iloc[np.lexsort((rows["ids_crc32"], rows[id_col].where(~missing, rows[id_col].dropna().min() if not missing.all() else 0), missing))]
+        doc, begin, size, sequence, offset = np.array(assign(rows["length"].tolist(), room), np.int64).reshape(-1, 5).T
+        held = rows["ids"].tolist()
+        body = [held[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), begin.tolist(), size.tolist(), strict=True)]
         return pd.DataFrame(
             {
-                id_col: pd.Series([name[order[x[0]]] for x in out], dtype=rows[id_col].dtype),
-                "start": [x[1] for x in out],
-                "length": [x[2] for x in out],
+                id_col: rows[id_col].iloc[doc].array,
+                "start": rows["start"].to_numpy()[doc] + begin,
+                "length": size,
                 "ids_crc32": [zlib.crc32(b) for b in body],
-                "doc_tokens": [size[x[0]] for x in out],
-                "sequence_id": [(group << 32) + x[3] for x in out],
-                "offset": [x[4] for x in out],
+                "doc_tokens": rows["doc_tokens"].to_numpy()[doc],
+                "sequence_id": (int(key[0]) << 32) + sequence,
+                "offset": offset,
                 "ids": body,
             }
         )
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return dealt.groupBy("bin").applyInPandas(one, schema)
+    return full.select(*columns).unionByName(tails.groupBy("bin").applyInPandas(one, schema))
