@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ from .repeats import ASK, BASES, answers, bucketed, covered, questions, repeated
 
 #: Bytes of an anchor within a window.
 ANCHOR = 64
-#: Contexts of one anchor that are sorted together; a more frequent anchor's suffixes
-#: are dealt by their own hashes instead.
-BUCKET = 64
+#: Contexts of one bucket that one task sorts together, 3 MB at most. An anchor that stands
+#: more often is split to buckets of windows that begin within STEP places of each other,
+#: by all the bytes these have in common; one that is still larger, window by window.
+BUCKET, STEP = 4096, 42
 #: Bytes of contexts that are sorted at once.
 BLOCK = 1 << 20
 PERIOD = 16
@@ -110,7 +113,7 @@ _ROW = "anchor bigint, rid bigint, start int, n int, at int, flag int, context b
 
 def repeated_strings(table: DataFrame, window: int) -> DataFrame:
     """Runs (rid, start, n) of byte windows that stand elsewhere too."""
-    spans = written(repeated_anchors(table, byte_codes, window, ANCHOR), "spans")
+    spans = written(repeated_anchors(table, byte_codes, window, ANCHOR, ("first", "last", "at", "anchor", "n")), "spans")
     some = F.filter("spans", lambda x: x["n"] <= BUCKET)
     many = F.filter("spans", lambda x: x["n"] > BUCKET)
     texts = table.select("rid", "text")
@@ -122,59 +125,78 @@ def repeated_strings(table: DataFrame, window: int) -> DataFrame:
         return (np.cumsum(lists.value_lengths().to_numpy()), *(flat.field(f).to_numpy() for f in ("first", "last", "at", "anchor")))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of contexts by their own hashes."""
         for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in slices(texts, 1 << 20):
-                rid = batch.column(0).slice(a, b - a).to_numpy()
-                ends, first, last, _, _ = fields(batch.column(2).slice(a, b - a))
-                parts = []
-                for i, t in enumerate(texts.slice(a, b - a).to_numpy(zero_copy_only=False)):
-                    lo = ends[i - 1] if i else 0
-                    order = np.argsort(first[lo : ends[i]])
-                    at = starts_of(first[lo : ends[i]][order].astype(np.int64), last[lo : ends[i]][order].astype(np.int64))
-                    codes = byte_codes(t)
-                    parts.append((np.full(len(at), rid[i]), at, *(window_hashes(codes, window, x)[at] for x in BASES)))
-                yield questions(*(np.concatenate([p[j] for p in parts]) for j in range(4)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct context of a slice, flagged if it has it twice; and
-        runs of windows (flag 2) that the slice so knows to repeat."""
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in slices(texts):
-                rid = batch.column(0).slice(a, b - a).to_pylist()
-                ends, first, last, at, anchor = (x.tolist() for x in fields(batch.column(2).slice(a, b - a)))
-                seen: dict[bytes, list] = {}
-                rows: list[tuple] = []
-                for i, t in enumerate(texts.slice(a, b - a).to_numpy(zero_copy_only=False)):
-                    text = t.encode()
-                    for j in range(ends[i - 1] if i else 0, ends[i]):
-                        context = text[first[j] : last[j] + window]
-                        row = [anchor[j], rid[i], first[j], last[j] - first[j] + 1, at[j] - first[j], 0, context]
-                        if (known := seen.get(context)) is None:
-                            seen[context] = row
-                        else:
-                            known[5] = 1
-                            rows.append((rid[i] ^ first[j], *row[1:4], 0, 2, None))
-                for row in seen.values():
-                    if row[5]:
-                        rows.append((row[1] ^ row[2], *row[1:4], 0, 2, None))
-                    rows.append(tuple(row))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["anchor", "rid", "start", "n", "at", "flag", "context"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            parts = [(np.full(n, rid), start + np.arange(n), *(window_hashes(_BYTES[np.frombuffer(c, np.uint8)], window, x) for x in BASES)) for _, rid, start, n, _, _, c in rows]
+            r, at, h1, h2 = (np.concatenate([p[j] for p in parts]) for j in range(4))
+            order = np.lexsort((at, r))
+            yield questions(r[order], at[order], h1[order], h2[order])
+
+    def split(first: int, last: int, at: int, anchor: int, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """The buckets (key, first, last) of a frequent anchor's windows."""
+        for group in range((at - last) // STEP, (at - first) // STEP + 1):
+            near, far = at - group * STEP, at - group * STEP - STEP + 1
+            yield xxhash.xxh64_intdigest(text[near : far + window], group) - (1 << 63), max(first, far), min(last, near)
+
+    def dealing(frequent: bool):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each distinct context of a slice, flagged if it has it twice; and
+            runs of windows (flag 2) that the slice so knows to repeat."""
+            for batch in batches:
+                texts = texts_of(batch, "text")
+                for a, b in slices(texts):
+                    rid = batch.column(0).slice(a, b - a).to_pylist()
+                    ends, *spans = (x.tolist() for x in fields(batch.column(2).slice(a, b - a)))
+                    seen: dict[tuple[int, bytes], list] = {}
+                    rows: list[tuple] = []
+                    for i, t in enumerate(texts.slice(a, b - a).to_numpy(zero_copy_only=False)):
+                        text = t.encode()
+                        for first, last, at, anchor in zip(*(x[ends[i - 1] if i else 0 : ends[i]] for x in spans), strict=True):
+                            for key, s, e in split(first, last, at, anchor, text) if frequent else ((anchor, first, last),):
+                                context = text[s : e + window]
+                                row = [key, rid[i], s, e - s + 1, at - s, 0, context]
+                                if (known := seen.get((key, context))) is None:
+                                    seen[(key, context)] = row
+                                else:
+                                    known[5] = 1
+                                    rows.append((rid[i] ^ s, *row[1:4], 0, 2, None))
+                    for row in seen.values():
+                        if row[5]:
+                            rows.append((row[1] ^ row[2], *row[1:4], 0, 2, None))
+                        rows.append(tuple(row))
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["anchor", "rid", "start", "n", "at", "flag", "context"])
+
+        return deal
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
+        """Runs of repeated windows of whole buckets. Equal contexts are one for the
+        sort; a bucket of one context has nothing to sort, as its windows begin at
+        different distances from the anchor."""
         told = [r[1:4] for r in rows if r[5] == 2]
-        rows = [r for r in rows if r[5] != 2]
+        places: dict[bytes, list[tuple]] = {}
+        for r in rows:
+            if r[5] != 2:
+                places.setdefault(r[6], []).append(r)
+        heads, many = [], []
+        kinds = Counter(held[0][0] for held in places.values())
+        for held in places.values():
+            twice = len(held) > 1 or held[0][5] == 1
+            if twice:
+                told += [r[1:4] for r in held if not r[5]]
+            if kinds[held[0][0]] > 1:
+                heads.append(held[0])
+                many.append(twice)
         rid, start, n = (np.array([r[k] for r in told], np.int64) for k in range(3))
-        if len(rows):
-            counts = np.array([r[3] for r in rows], np.int64)
-            flags = np.array([r[5] for r in rows]) == 1
-            hit = sorted_block([r[6] for r in rows], np.array([r[4] for r in rows]), counts, np.array([r[0] for r in rows], np.int64), flags, window)
-            own = np.repeat(np.array([r[1] for r in rows], np.int64), counts)
-            first = np.array([r[2] for r in rows], np.int64)
+        if heads and not all(many):
+            counts = np.array([r[3] for r in heads], np.int64)
+            known = np.array(many)
+            hit = sorted_block([r[6] for r in heads], np.array([r[4] for r in heads]), counts, np.array([r[0] for r in heads], np.int64), known, window)
+            own = np.repeat(np.array([r[1] for r in heads], np.int64), counts)
+            first = np.array([r[2] for r in heads], np.int64)
             where = starts_of(first, first + counts - 1)
-            fresh = hit & ~np.repeat(flags, counts)
+            fresh = hit & ~np.repeat(known, counts)
             more = runs(own[fresh], where[fresh])
             rid, start, n = (np.r_[x, y] for x, y in zip((rid, start, n), more, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["rid", "start", "n"])
@@ -194,8 +216,13 @@ def repeated_strings(table: DataFrame, window: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    dealt = cold.mapInArrow(deal, _ROW).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(sort, "rid bigint, start int, n int").unionByName(answers(hot.mapInArrow(ask, ASK)))
+    split_up = written(hot.mapInArrow(dealing(True), _ROW), "buckets")
+    large = written(split_up.where("flag < 2").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET).select("anchor"), "large")
+    single = split_up.where("flag < 2").join(large, "anchor", "left_semi").select(*split_up.columns)
+    dealt = cold.mapInArrow(dealing(False), _ROW).unionByName(split_up.join(large, "anchor", "left_anti").select(*split_up.columns))
+    told = split_up.where("flag = 2").join(large, "anchor", "left_semi").select("rid", "start", "n")  # by chance: these have keys of their own
+    sorted_ones = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "rid bigint, start int, n int")
+    return sorted_ones.unionByName(answers(single.mapInArrow(ask, ASK))).unionByName(told)
 
 
 def deduplicated(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
