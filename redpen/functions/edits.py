@@ -33,6 +33,16 @@ def edits_for(edits: Column, annotator: int = 0, noops: bool = False) -> Column:
     return F.transform(F.array_sort(keyed, lambda a, b: _order(a, b)), lambda k: k["e"])
 
 
+def is_correct(edits: Column, annotator: int = 0) -> Column:
+    """Whether an annotator has no edit but noops."""
+    return F.size(edits_for(edits, annotator)) == 0
+
+
+def source(words: Column) -> Column:
+    """The sentence of its tokens."""
+    return F.array_join(words, " ")
+
+
 def _order(a: Column, b: Column) -> Column:
     out = F.lit(0)
     for f in ("i", "t", "s"):

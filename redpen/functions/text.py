@@ -55,21 +55,60 @@ def is_clean(text: Column, language: str) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+# Typeset characters and the keyboard's for them.
+TYPESET, TYPED = "’‘“”„–—\u00a0", "''\"\"\"-- "
+
+
 def typographic(text: Column) -> Column:
     """Curly quotes, dashes and no-break spaces folded to plain ones, white space to one
-    space. Expects composed characters (NFC)."""
-    plain = F.translate(text, "„“”‚‘’–—\u00a0", "\"\"\"'''-- ")
-    return F.trim(F.regexp_replace(plain, _SPACE, " "))
+    space, of composed text: a text that may not be (NFC) goes through ``kernels.nfc``
+    before, which ``leniency.folded`` does."""
+    return F.trim(F.regexp_replace(F.translate(text, TYPESET, TYPED), _SPACE, " "))
 
 
 def same_compound(gold: Column, hypothesis: Column) -> Column:
-    """Whether two words differ only in a hyphen and case, one closed and one hyphenated."""
+    """Whether two words differ only in a hyphen and case, one closed and one hyphenated,
+    whatever dash that is."""
+    gold, hypothesis = typographic(gold), typographic(hypothesis)
     hyphen = lambda c: F.contains(c, F.lit("-"))
     squash = lambda c: F.lower(F.replace(c, F.lit("-"), F.lit("")))
     spaced = F.contains(gold, F.lit(" ")) | F.contains(hypothesis, F.lit(" "))
     return ~spaced & (hyphen(gold) != hyphen(hypothesis)) & (squash(gold) == squash(hypothesis))
 
 
+def squash(words: Column) -> Column:
+    """Tokens in lower case without anything between."""
+    return F.lower(F.array_join(words, ""))
+
+
+def squash_marks(words: Column) -> Column:
+    """The same without apostrophes and hyphens."""
+    return F.regexp_replace(squash(words), "['-]", "")
+
+
+def same_spelling(a: Column, b: Column, language: str = "de") -> Column:
+    """Whether two token arrays are one text but for case and spaces, in Spanish but for
+    stress marks too."""
+    fold = unstressed if language == "es" else (lambda c: c)
+    return fold(squash(a)) == fold(squash(b))
+
+
+def straight_quotes(text: Column) -> Column:
+    """Straight double quotes set tight to what they hold: the odd ones open, the even ones
+    close; an unpaired last one stays as it is."""
+    parts = F.split(text, '"', -1)
+    paired = F.when(F.size(parts) % 2 == 1, F.size(parts)).otherwise(F.size(parts) - 1)
+    inner = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < paired), F.trim(p)).otherwise(p))
+    return F.array_join(inner, '"')
+
+
+def space_before(words: Column) -> Column:
+    """Whether a space stands before each token in display form."""
+    closing = lambda w: w.rlike("^[.,;:!?…)\\]}»”]+$")
+    opening = lambda w: w.rlike("^[(\\[{¿¡«„]+$")
+    return F.transform(words, lambda w, i: (i > 0) & ~closing(w) & ~F.coalesce(opening(F.get(words, i - 1)), F.lit(False)))
+
+
 def tokenize(text: Column) -> Column:
     """The fallback tokenizer: punctuation before white space or the end stands apart."""
     return F.regexp_replace(text, "([.,;:!?…])(\\s|$)", " $1$2")

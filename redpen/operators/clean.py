@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_clean, normalise, tokens
+from . import samples
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -14,49 +15,94 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.select("doc_id", "pos", "lang", F.trim("line").alias("sentence")).where("sentence <> ''")
 
 
+def _winners(rows: DataFrame, key: Column, order: tuple[str, ...]) -> DataFrame:
+    """The first row's place of each key, by partial minima; keys meet by their MD5 digest,
+    so no text is shuffled."""
+    first = rows.groupBy(F.unhex(F.md5(key)).alias("digest")).agg(F.min(F.struct(*order)).alias("first"))
+    return first.select("first.*", F.lit(True).alias("won"))
+
+
 def first_of_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """Flags the first row of each key. Keys are grouped with partial aggregation and
-    joined back, so a key that a third of the rows share meets in no single task."""
-    place = F.struct(*order)
-    first = rows.groupBy(key.alias("k")).agg(F.min(place).alias("first"))
-    return rows.withColumn("k", key).join(first, "k").withColumn("is_first", F.col("first") == place).drop("first")
-
-
-def funnel(rows: DataFrame, held_out: DataFrame, language: str = "de", least: int = 8, most: int = 60) -> DataFrame:
-    """Each sentence with the reason it goes, or ``kept``: a repeated key, held out, not
-    clean, outside the length window, in this order. ``held_out`` has texts whose keys
-    must not be trained on."""
-    keyed = first_of_key(rows, normalise(F.col("sentence")), "doc_id", "pos")
-    held = held_out.select(normalise(F.col("text")).alias("k")).distinct().withColumn("held", F.lit(True))
+    """``rows`` with their key ``k`` and whether each is its key's first. Rows are joined
+    with the winners' places, which are unique, so a key that a third of the rows share
+    meets in no single task."""
+    out = rows.withColumn("k", key).join(_winners(rows, key, order), list(order), "left")
+    return out.withColumn("is_first", F.coalesce("won", F.lit(False))).drop("won")
+
+
+def misspelled(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Places (doc_id, pos) of sentences with a lower-case alphabetic word of two letters or
+    more that isn't in the vocabulary (column ``word``). A capitalised one may be a name."""
+    words = F.array_distinct(F.filter(tokens(F.col("sentence")), lambda w: w.rlike("(?U)^\\p{L}{2,}$") & (w == F.lower(w)) & (w != F.upper(w))))
+    asked = rows.select("doc_id", "pos", F.explode(words).alias("word"))
+    return asked.join(vocabulary.select("word").distinct(), "word", "left_anti").select("doc_id", "pos").distinct()
+
+
+def is_complete(parse: Column, language: str = "de") -> Column:
+    """Whether a parsed sentence is a whole main clause: it has a finite verb, and its first
+    token isn't a conjunction that the root governs. Nothing of a null or empty parse."""
+    finite = (lambda t: t["tag"].isin("VVFIN", "VAFIN", "VMFIN")) if language == "de" else (lambda t: F.coalesce(t["morph"]["VerbForm"] == "Fin", F.lit(False)))
+    first = F.get(parse, F.lit(0))
+    stranded = (first["pos"] == "SCONJ") & (F.get(parse, first["head"])["dep"] == "ROOT")
+    return F.coalesce(F.exists(parse, finite) & ~stranded, F.lit(False))
+
+
+#: Reasons in the order in which they are told; the last is none.
+REASONS = ("duplicate", "held out", "unclean", "length", "misspelled", "fragment", "kept")
+
+
+def funnel(rows: DataFrame, held_out: DataFrame, language: str = "de", least: int = 8, most: int = 60, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Each sentence with the reason it goes, or ``kept``, the first that fits of REASONS:
+    its key stands before, is held out (``held_out`` has texts whose keys mustn't be trained
+    on), it isn't clean, too short or long, has an unknown word (with a ``vocabulary``), is
+    no whole clause (with a column ``complete``).
+
+    The later tests run over first rows alone; held-out keys are joined with the winners,
+    whose keys are unique."""
+    key = normalise(F.col("sentence"))
+    parsed = ["complete"] if "complete" in rows.columns else []
+    keyed = first_of_key(rows, key, "doc_id", "pos")
+    held = held_out.select(F.unhex(F.md5(normalise(F.col("text")))).alias("digest")).distinct().withColumn("held", F.lit(True))
+    firsts = keyed.where("is_first").withColumn("digest", F.unhex(F.md5("k"))).join(held, "digest", "left").drop("digest")
+    if vocabulary is not None:
+        firsts = firsts.join(misspelled(firsts, vocabulary).withColumn("wrong", F.lit(True)), ["doc_id", "pos"], "left")
     size = F.size(tokens(F.col("sentence")))
-    reason = (
-        F.when(~F.col("is_first"), "duplicate")
-        .when(F.col("held"), "held out")
-        .when(~is_clean(F.col("sentence"), language), "unclean")
-        .when((size < least) | (size > most), "length")
-        .otherwise("kept")
-    )
-    return keyed.join(held, "k", "left").select("doc_id", "pos", "lang", "sentence", F.col("k").alias("key"), reason.alias("reason"))
+    reason = F.when(F.col("held"), "held out").when(~is_clean(F.col("sentence"), language), "unclean").when((size < least) | (size > most), "length")
+    reason = reason.when(F.col("wrong"), "misspelled") if vocabulary is not None else reason
+    reason = reason.when(~F.coalesce("complete", F.lit(False)), "fragment") if parsed else reason
+    columns = ("doc_id", "pos", "lang", "sentence")
+    out = firsts.select(*columns, F.col("k").alias("key"), reason.otherwise("kept").alias("reason"))
+    return out.unionByName(keyed.where("not is_first").select(*columns, F.col("k").alias("key"), F.lit("duplicate").alias("reason")))
+
+
+def funnel_counts(judged: DataFrame) -> DataFrame:
+    """How many sentences each reason takes, in the order of REASONS; 0 of unseen ones."""
+    names = judged.sparkSession.createDataFrame([(k, r) for k, r in enumerate(REASONS)], "step int, reason string")
+    counts = judged.groupBy("reason").agg(F.count("*").alias("n"))
+    return names.join(counts, "reason", "left").select("step", "reason", F.coalesce("n", F.lit(0)).alias("n")).orderBy("step")
+
+
+def correct_sentences(rows: DataFrame, size: int, seed: str, language: str = "de", vocabulary: DataFrame | None = None, least: int = 8, most: int = 30) -> DataFrame:
+    """``size`` sentences without errors, to measure overcorrection on; raises if fewer are
+    left. Here the filter comes before the dedup, and the key keeps white space."""
+    fine = rows.where(is_clean(F.col("sentence"), language))
+    fine = first_of_key(fine, F.lower("sentence"), "doc_id", "pos").where("is_first").drop("is_first", "k")
+    words = F.size(tokens(F.col("sentence")))
+    fine = fine.where((words >= least) & (words <= most))
+    if vocabulary is not None:
+        fine = fine.join(misspelled(fine, vocabulary), ["doc_id", "pos"], "left_anti")
+    keyed = fine.withColumn("_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")))
+    return samples.at_least(keyed, seed, "_key", size).drop("_key")
 
 
 def spelled_correctly(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rows (doc_id, pos) all of whose lower-case alphabetic words of two letters or more
-    are in the vocabulary (column ``word``)."""
-    words = F.array_distinct(F.filter(tokens(F.col("sentence")), lambda w: w.rlike("(?U)^[\\p{Ll}]{2,}$")))
-    asked = rows.select("doc_id", "pos", F.explode(words).alias("word"))
-    unknown = asked.join(vocabulary.select("word").distinct(), "word", "left_anti").select("doc_id", "pos").distinct()
-    return rows.join(unknown, ["doc_id", "pos"], "left_anti")
+    """Rows all of whose checked words are in the vocabulary."""
+    return rows.join(misspelled(rows, vocabulary), ["doc_id", "pos"], "left_anti")
 
 
 def stratified(rows: DataFrame, bucket: Column, size: int, salt: str, key: str) -> DataFrame:
-    """A seeded sample of ``size`` rows in the proportions of the buckets, each share rounded
-    half to even; within a bucket in the order of SHA-256 of salt and key."""
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    quota = counts.select("bucket", F.bround(F.col("n") * size / total).cast("int").alias("quota"))
-    hashed = rows.withColumn("bucket", bucket).withColumn("h", F.sha2(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")), 256))
-    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("h")))
-    return ranked.join(quota, "bucket").where("rank <= quota").drop("h", "rank", "quota")
+    """A seeded sample of ``size`` rows in the proportions of the buckets, null among them."""
+    return samples.screen(rows, size, salt, key, bucket)
 
 
 def held_out_share(rows: DataFrame, salt: str, key: str, percent: int) -> DataFrame:

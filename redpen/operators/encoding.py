@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import MARKER
+
 #: The label of tokens that aren't learned.
 MASKED = -100
 
@@ -16,7 +19,7 @@ def encode(prompt_ids: Sequence[int], answer_ids: Sequence[int], offsets: Sequen
 
     The prompt is masked with weight 0. Answer tokens that end after the character
     ``changed_from`` (where the list of changes begins) weigh ``weight``, the others and the
-    end 1."""
+    end 1; give (start, start + 1) for tokens that count by where they begin."""
     ids = [*prompt_ids, *answer_ids, end_id]
     if len(ids) > longest:
         return None
@@ -25,6 +28,39 @@ def encode(prompt_ids: Sequence[int], answer_ids: Sequence[int], offsets: Sequen
     return ids, labels, [0.0] * len(prompt_ids) + [weight if x else 1.0 for x in late] + [1.0]
 
 
+ENCODED = "ids array<int>, labels array<int>, weights array<double>"
+
+
+def encoded_records(rows: DataFrame, tokenizer_path: str, end_id: int, weight: float = 1.0, longest: int = 1024, id_col: str = "sid") -> DataFrame:
+    """Rows (id, ids, labels, weights) of records with ``prompt`` and ``answer`` text, by a
+    file of the tokenizers library; records longer than ``longest`` tokens go. Tokens of an
+    answer that begin at its changes' marker or behind weigh ``weight``; an answer without
+    the marker weighs 1 throughout."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tokenizers
+
+        held = tokenizers.Tokenizer.from_file(tokenizer_path)
+        for part in parts:
+            prompts = held.encode_batch(part["prompt"].tolist())
+            answers = held.encode_batch(part["answer"].tolist(), add_special_tokens=False)
+            out = []
+            for key, text, p, a in zip(part[id_col], part["answer"], prompts, answers, strict=True):
+                split = text.find(MARKER)
+                got = encode(p.ids, a.ids, [(s, s + 1) for s, _ in a.offsets], end_id, split if split >= 0 else None, weight, longest)
+                if got is not None:
+                    out.append((key, *got))
+            yield pd.DataFrame(out, columns=[id_col, "ids", "labels", "weights"])
+
+    return rows.select(id_col, "prompt", "answer").mapInPandas(run, f"`{id_col}` {kind}, {ENCODED}")
+
+
+def split_sizes(rows: DataFrame, validation: int) -> int:
+    """How many rows to hold out: ``validation``, a tenth at most, one at least."""
+    return min(validation, max(rows.count() // 10, 1))
+
+
 def weighted_mean_loss(rows: DataFrame, loss: str, weight: str) -> DataFrame:
     """The sum of weighted losses over the sum of weights, or over 1e-8."""
     return rows.agg((F.sum(F.col(loss) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1e-8))).alias("loss"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,11 +43,13 @@ class Lattice:
     def __init__(self, source: Sequence[str], hyp: Sequence[str]):
         self.source, self.hyp = list(source), list(hyp)
         n, m = len(source), len(hyp)
-        self.same = np.array([[s == h for h in hyp] for s in source], bool).reshape(n, m)
+        code: dict[str, int] = {}
+        x, y = (np.array([code.setdefault(t, len(code)) for t in side], np.int64) for side in (source, hyp))
+        self.same = x[:, None] == y[None, :]
         ahead = self._table(self.same)
         behind = self._table(self.same[::-1, ::-1])[::-1, ::-1]
         total = ahead[n, m]
-        step = np.where(self.same, 0, 2)
+        step = np.where(self.same, np.int32(0), np.int32(2))
         self.diagonal = ahead[:-1, :-1] + step + behind[1:, 1:] == total
         self.delete = ahead[:-1, :] + 1 + behind[1:, :] == total
         self.insert = ahead[:, :-1] + 1 + behind[:, 1:] == total
@@ -54,8 +57,8 @@ class Lattice:
     @staticmethod
     def _table(same: np.ndarray) -> np.ndarray:
         n, m = same.shape
-        out = np.zeros((n + 1, m + 1), np.int64)
-        steps = np.arange(m + 1)
+        out = np.zeros((n + 1, m + 1), np.int32)
+        steps = np.arange(m + 1, dtype=np.int32)
         out[0] = steps
         for i in range(n):
             row = np.r_[i + 1, np.minimum(out[i, 1:] + 1, out[i, :-1] + np.where(same[i], 0, 2))]
@@ -93,16 +96,16 @@ def maxmatch_edits(source: Sequence[str], hyp: Sequence[str], gold: set[tuple[in
     n, m = len(source), len(hyp)
     best: dict[tuple[int, int], tuple[int, int]] = {(0, 0): (0, 0)}
     back: dict[tuple[int, int], tuple[tuple[int, int], tuple[int, int, str] | None]] = {}
+    reached: dict[int, set[int]] = {0: {0}}
     for total in range(n + m):
-        for i in range(max(0, total - m), min(n, total) + 1):
+        for i in sorted(reached.pop(total, ())):
             at = (i, total - i)
-            if at not in best:
-                continue
             cost = best[at]
 
             def offer(to: tuple[int, int], price: tuple[int, int], edit: tuple[int, int, str] | None, at: tuple[int, int] = at) -> None:
                 if to not in best or price < best[to]:
                     best[to], back[to] = price, (at, edit)
+                    reached.setdefault(sum(to), set()).add(to[0])
 
             j = at[1]
             if i < n and j < m and grid.diagonal[i, j] and grid.same[i, j]:
@@ -165,3 +168,20 @@ def annotator_fold(counts: Sequence[Sequence[tuple[int, int, int]]], beta: float
         sums = [tuple(t + o for t, o in zip(total, option, strict=True)) for option in options]
         total = max(sums, key=lambda s: rank(*s))
     return total
+
+
+def corpus_counts(rows: DataFrame, beta: float = 0.5) -> tuple[int, int, int]:
+    """Corpus totals of rows (sid, annotator, tp, fp, fn). With one annotator a sentence they
+    are plain sums; with several each sentence, in the order of sid, takes the annotator
+    that is best for the running totals, so rows come to the driver as a stream of which
+    it holds one sentence."""
+    several = rows.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not several:
+        row = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tp", "fp", "fn")]).first()
+        return tuple(row)
+    options = F.array_sort(F.collect_list(F.struct("annotator", "tp", "fp", "fn")))
+    ordered = rows.groupBy("sid").agg(options.alias("o")).orderBy("sid")
+    total = (0, 0, 0)
+    for row in ordered.toLocalIterator():
+        total = annotator_fold([[total], [tuple(o)[1:] for o in row.o]], beta)
+    return total

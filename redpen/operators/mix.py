@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,27 +18,41 @@ Candidate = tuple[int, int, str, str, str]
 EDITS = "array<struct<start:int,end:int,correction:string,error_type:string,rule:string>>"
 
 
-def wanted(kind: str, targets: dict[str, float], emitted: Counter) -> float:
-    """How far a type is below its share; one above it keeps a twentieth of its weight."""
-    target, total = targets.get(kind, 0.0), emitted.total()
-    return max(target - (emitted[kind] / total if total else 0.0), 0.05 * target, 1e-6)
+# What a type above its share keeps of its weight, and the least weight.
+STARVED, LEAST = 0.05, 1e-6
 
 
-def compatible(a: Candidate, b: Candidate) -> bool:
-    """No shared token, and not two insertions at one point."""
-    return (a[1] <= b[0] or a[0] >= b[1]) and not (a[0] == a[1] == b[0] == b[1])
+def weights(kinds: Sequence[str], targets: dict[str, float], emitted: Counter) -> np.ndarray:
+    """The weight of each type: what it lacks to its share of all errors so far."""
+    target = np.array([targets.get(k, 0.0) for k in kinds])
+    share = np.array([emitted[k] for k in kinds]) / max(emitted.total(), 1)
+    return np.maximum.reduce([target - share, STARVED * target, np.full(len(target), LEAST)])
 
 
 def draw(candidates: Sequence[Candidate], count: int, rng: random.Random, targets: dict[str, float], emitted: Counter) -> list[Candidate]:
-    """Up to ``count`` candidates that go together: each time a type by its weight, then
-    any candidate of the type. In the order of start."""
-    left, taken = list(candidates), []
-    while left and len(taken) < count:
-        kinds = sorted({c[3] for c in left})
-        kind = rng.choices(kinds, [wanted(k, targets, emitted) for k in kinds])[0]
-        taken.append(rng.choice([c for c in left if c[3] == kind]))
-        left = [c for c in left if compatible(c, taken[-1])]
-    return sorted(taken)
+    """Up to ``count`` candidates that go together, in the order of start.
+
+    Every type rings at the times of a Poisson process whose rate is its weight, and each
+    ring takes one of its candidates at random that still goes with those taken. So types
+    are drawn by their weights, whatever the number of their candidates, in one pass."""
+    shuffled = sorted(candidates, key=lambda _: rng.random())
+    kinds = sorted({c[3] for c in candidates})
+    rings = []
+    for kind, rate in zip(kinds, weights(kinds, targets, emitted).tolist(), strict=True):
+        rings += [(t, kind) for t in accumulate(rng.expovariate(rate) for _ in range(count))]
+    taken = np.zeros((0, 2))
+    chosen: list[Candidate] = []
+    for _, kind in sorted(rings):
+        if len(chosen) == count:
+            break
+        for c in (c for c in shuffled if c[3] == kind):
+            apart = (taken[:, 1] <= c[0]) | (c[1] <= taken[:, 0])
+            same_gap = (taken == c[0]).all(1) & (c[0] == c[1])
+            if (apart & ~same_gap).all():
+                taken = np.vstack([taken, c[:2]])
+                chosen.append(c)
+                break
+    return sorted(chosen)
 
 
 def damage(tokens: Sequence[str], chosen: Sequence[Candidate]) -> tuple[list[str], list[Candidate]]:
@@ -81,3 +97,16 @@ def generate(rows: DataFrame, targets: dict[str, float], seed: int, clean_share:
     kind = rows.schema["sid"].dataType.simpleString()
     dealt = rows.select("sid", "tokens", "candidates", F.pmod(F.xxhash64("sid"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(one, f"sid {kind}, tokens array<string>, edits {EDITS}, outcome string")
+
+
+def noop(rows: DataFrame) -> DataFrame:
+    """Correct sentences (sid, tokens) as damaged ones without any edit."""
+    return rows.select("sid", "tokens", F.array().cast(EDITS).alias("edits"), F.lit("negative").alias("outcome"))
+
+
+def outcomes(generated: DataFrame) -> DataFrame:
+    """Totals of generated sentences: total, negative (barren ones too), damaged, barren,
+    and the share of negatives, 0 of none."""
+    count = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    out = generated.agg(F.count("*").alias("total"), count("negative", "barren").alias("negative"), count("damaged").alias("damaged"), count("barren").alias("barren"))
+    return out.withColumn("negative_share", F.coalesce(F.try_divide("negative", "total"), F.lit(0.0)))

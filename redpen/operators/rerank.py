@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import difflib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import tokens
+from .kernels import token_distance_udf
 
 
 def pick(beam: DataFrame, score: Column, sid: str = "sid", rank: str = "rank") -> DataFrame:
@@ -39,3 +48,78 @@ def preference_pairs(beam: DataFrame, least_gain: int = 1) -> DataFrame:
     best = oracle(beam).where("picked > 0").join(beam.select("sid", F.col("rank").alias("picked"), F.col("text").alias("chosen")), ["sid", "picked"])
     out = best.join(first, "sid").withColumn("gain", F.col("gain") - F.col("base"))
     return out.where((F.col("gain") >= least_gain) & (F.col("chosen") != F.col("rejected"))).select("sid", F.col("picked").alias("chosen_rank"), "gain")
+
+
+def at_random(beam: DataFrame, seed: str) -> DataFrame:
+    """A candidate of each list by the SHA-256 of seed, list and rank: a control."""
+    key = F.sha2(F.concat_ws(":", F.lit(seed), F.col("sid").cast("string"), F.col("rank").cast("string")), 256)
+    return beam.groupBy("sid").agg(F.min_by("rank", key).alias("picked"))
+
+
+def distances(beam: DataFrame) -> DataFrame:
+    """``beam`` (sid, rank, text) with ``risk``, the sum of token distances to the list's
+    other candidates, and ``identical``, how many of them read alike. Lists hold a few
+    candidates, and copies of one list meet once."""
+    other = beam.select("sid", F.col("rank").alias("_rank"), F.col("text").alias("_text"))
+    apart = F.when(F.col("text") == F.col("_text"), 0).otherwise(token_distance_udf(tokens(F.col("text")), tokens(F.col("_text"))))
+    pairs = beam.select("sid", "rank", "text").join(other, "sid").withColumn("apart", apart)
+    sums = pairs.groupBy("sid", "rank").agg(F.sum("apart").alias("risk"), (F.count_if(F.col("text") == F.col("_text")) - 1).alias("identical"))
+    return beam.join(sums, ["sid", "rank"])
+
+
+def least_risk(beam: DataFrame) -> DataFrame:
+    """The candidate whose token distances to its siblings sum up to the least."""
+    return pick(distances(beam), -F.col("risk")).withColumn("value", -F.col("value"))
+
+
+@F.pandas_udf(T.IntegerType())
+def operations_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many stretches differ between two token lists by their matching blocks."""
+    return pd.Series([sum(o[0] != "equal" for o in difflib.SequenceMatcher(None, list(x), list(y)).get_opcodes()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+FEATURES = ("score", "margin", "rank", "edits", "edit_share", "longer", "operations", "mean_risk", "identical")
+
+
+def features(beam: DataFrame) -> DataFrame:
+    """FEATURES of every candidate; no gold is looked at. ``beam`` has sid, rank, score, text
+    and ``source``."""
+    own = Window.partitionBy("sid")
+    a, b = tokens(F.col("source")), tokens(F.col("text"))
+    rows = distances(beam).withColumn("edits", token_distance_udf(a, b))
+    columns = (
+        F.col("score"), F.col("score") - F.max("score").over(own), F.col("rank").cast("double"), F.col("edits").cast("double"), F.col("edits") / F.greatest(F.size(a), F.lit(1)),
+        (F.size(b) - F.size(a)).cast("double"), operations_udf(a, b).cast("double"), F.col("risk") / F.greatest(F.count("*").over(own) - 1, F.lit(1)), F.col("identical").cast("double"),
+    )
+    return rows.select("sid", F.col("rank").alias("candidate"), *[c.alias(n) for c, n in zip(columns, FEATURES, strict=True)])
+
+
+def labelled(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Features with a ``label``: 1 for the candidate that the oracle picks, else 0."""
+    return rows.join(best.select("sid", F.col("picked").alias("_p")), "sid").withColumn("label", F.when(F.col("candidate") == F.col("_p"), 1.0).otherwise(0.0)).drop("_p")
+
+
+def fit(rows: DataFrame, epochs: int, rate: float = 0.5, write: Callable[[DataFrame], DataFrame] = lambda d: d) -> np.ndarray:
+    """Weights (one a feature, then the constant) of a logistic regression by full-batch
+    descent from zero: every epoch is one sum over all rows. ``write`` cuts the lineage of
+    the rows, which are read once an epoch."""
+    rows = write(rows)
+    weights = np.zeros(len(FEATURES) + 1)
+    inputs = [F.col(f) for f in FEATURES] + [F.lit(1.0)]
+    for _ in range(epochs):
+        score = sum((x * float(w) for x, w in zip(inputs[1:], weights[1:], strict=True)), inputs[0] * float(weights[0]))
+        error = 1 / (1 + F.exp(-score)) - F.col("label")
+        step = rows.agg(*[F.coalesce(F.avg(x * error), F.lit(0.0)) for x in inputs]).first()
+        weights -= rate * np.array(step)
+    return weights
+
+
+def by_weights(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The candidate of the highest score by learned weights; the first of equal ones."""
+    score = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights[:-1], strict=True)), F.lit(float(weights[-1])))
+    return pick(rows, score, rank="candidate")
+
+
+def gains(pairs: DataFrame) -> DataFrame:
+    """How many preference pairs there are of each chosen rank and gain."""
+    return pairs.groupBy("chosen_rank", "gain").agg(F.count("*").alias("n"))

@@ -36,7 +36,7 @@ def mark_moves(edits: DataFrame) -> DataFrame:
     """Edits (sid, ordinal, error_type, words) where a deletion and an insertion of the same
     word and category in a sentence are one move: both get ``moved``. Of several with the
     same key the last counts."""
-    category = F.split("error_type", ":")[1]
+    category = F.get(F.split("error_type", ":"), F.lit(1))
     keyed = edits.withColumn("category", category).withColumn("op", F.substring("error_type", 1, 1))
     last = keyed.where("op in ('U', 'M') and category is not null").groupBy("sid", "category", "words", "op").agg(F.max("ordinal").alias("ordinal"))
     pairs = last.where("op = 'U'").alias("u").join(last.where("op = 'M'").alias("m"), ["sid", "category", "words"])

@@ -51,9 +51,9 @@ def apply_edits(spark, sf_dir):
 
 
 def token_offsets(spark, sf_dir):
-    rows = sentences(_docs(spark, sf_dir)).where("pos = 0").select("doc_id", tokens(F.col("sentence")).alias("w"))
-    spans = rows.select("doc_id", F.posexplode(token_spans(F.col("w"))).alias("i", "s"))
-    return spans.select("doc_id", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    rows = sentences(_docs(spark, sf_dir)).select("doc_id", "pos", tokens(F.col("sentence")).alias("w"))
+    spans = rows.select("doc_id", "pos", F.posexplode(token_spans(F.col("w"))).alias("i", "s"))
+    return spans.select("doc_id", "pos", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def error_type_histogram(spark, sf_dir):
@@ -94,15 +94,29 @@ def overcorrection_rate(spark, sf_dir):
 
 
 def mark_moves(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).where("k % 13 = 0 or k % 17 = 0")
-    rows = rows.select("sid", F.col("i").alias("ordinal"), F.when(F.col("k") % 13 == 0, "U:WORD").otherwise("M:WORD").alias("error_type"), F.lower("w").alias("words"))
+    """Deletions, insertions, and edits whose type has no category."""
+    rows = _tokens(spark, sf_dir).where("k % 13 = 0 or k % 17 = 0 or k % 23 = 0")
+    kind = F.when(F.col("k") % 13 == 0, "U:WORD").when(F.col("k") % 17 == 0, "M:WORD").otherwise("UNK")
+    rows = rows.select("sid", F.col("i").alias("ordinal"), kind.alias("error_type"), F.lower("w").alias("words"))
     return scoring.mark_moves(rows).select("sid", "ordinal", "moved")
 
 
+#: A stand-in for a parser: tags by residues of document and place.
+_TAGS = ("NN", "APPR", "VVFIN", "PRF", "KON", "ADJA")
+_CLASSES = ("DET", "ADP", "PRON", "ADJ")
+
+
+def _parsed(words):
+    k = lambda i: F.col("doc_id") + i
+    of = lambda names, i: F.get(F.lit(list(names)), (k(i) % len(names)).cast("int"))
+    dep = lambda i: F.when(k(i) % 8 == 2, "obj").when(k(i) % 12 == 8, "ROOT").otherwise("x")
+    return F.transform(words, lambda w, i: F.struct(w.alias("text"), w.alias("lemma"), of(_CLASSES, i).alias("pos"), of(_TAGS, i).alias("tag"), dep(i).alias("dep"), i.alias("head"), F.create_map().cast("map<string,string>").alias("morph")))
+
+
 def _injected(lang: str):
     def query(spark, sf_dir):
         docs = _docs(spark, sf_dir).where(F.col("lang") == lang).select("doc_id", tokens(F.col("text")).alias("w"))
-        found = docs.select("doc_id", F.explode(injection.candidates(F.col("w"), lang)).alias("c"))
+        found = docs.select("doc_id", F.explode(injection.candidates(F.col("w"), lang, _parsed(F.col("w")))).alias("c"))
         return found.groupBy("c.rule", "c.error_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
     query.__name__ = f"injection_candidates_{lang}"
@@ -116,10 +130,11 @@ def injection_choice(spark, sf_dir):
 
 
 def _beams(spark, sf_dir):
-    """Five candidates for each document that take 0 to 4 of its system edits."""
+    """Five candidates for each document: the first has all of its system edits, each further
+    one a fifth fewer."""
     hits = scoring.span_join(_gold(spark, sf_dir), _system(spark, sf_dir)).where("system_type is not null")
     hits = hits.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "correction", F.col("gold_type").isNotNull().alias("hit")))).alias("all"))
-    rows = hits.select("sid", "all", F.explode(F.lit([0, 1, 2, 3, 4])).alias("rank")).withColumn("edits", F.slice("all", 1, F.lit(4) - F.col("rank")))
+    rows = hits.select("sid", "all", F.explode(F.lit([0, 1, 2, 3, 4])).alias("rank")).withColumn("edits", F.filter("all", lambda e, i: i % 5 >= F.col("rank")))
     tp = F.size(F.filter("edits", lambda e: e["hit"]))
     return rows.select("sid", "rank", "edits", (F.col("rank") * -0.1).alias("score"), tp.alias("tp"), (F.size("edits") - tp).alias("fp"), F.size("edits").alias("distance"), F.to_json("edits").alias("text"))
 
@@ -141,28 +156,30 @@ def preference_pairs(spark, sf_dir):
 
 
 def apply_checker(spark, sf_dir):
-    """Matches of a checker rule (a lower-case ``the``) replaced in each first line."""
-    rows = sentences(_docs(spark, sf_dir)).where("pos = 0").select("doc_id", "sentence")
+    """Matches of a checker rule (a lower-case ``the``) replaced in each line."""
+    rows = sentences(_docs(spark, sf_dir)).select("doc_id", "pos", "sentence")
     parts = F.split("sentence", "the", -1)
     ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 3, F.lit(0)) + F.char_length(p)))
     safe = F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<int>"))
     matches = F.transform(safe, lambda o: F.struct(o.alias("offset"), F.lit(3).alias("length"), F.lit("THE").alias("replacement")))
-    return rows.select("doc_id", training.apply_matches(F.col("sentence"), matches).alias("corrected"))
+    return rows.select("doc_id", "pos", training.apply_matches(F.col("sentence"), matches).alias("corrected"))
 
 
 def build_target_json(spark, sf_dir):
-    rows = _gold(spark, sf_dir).where("start < 40").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("correction").alias("now"), F.col("error_type").alias("type")))).alias("e"))
+    """Answers of whole documents: the text, and all of its edits."""
+    rows = _gold(spark, sf_dir).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("correction").alias("now"), F.col("error_type").alias("type")))).alias("e"))
+    rows = rows.join(_docs(spark, sf_dir).select(F.col("doc_id").alias("sid"), "text"), "sid")
     changes = F.transform("e", lambda e: F.struct(F.lit("").alias("was"), e["now"].alias("now"), e["type"].alias("type")))
-    return rows.select("sid", F.sha2(training.build_answer(F.lit("x"), changes), 256).alias("answer_sha256"))
+    return rows.select("sid", F.sha2(training.build_answer(F.col("text"), changes), 256).alias("answer_sha256"))
 
 
 def parse_round_trip(spark, sf_dir):
-    """Answers built from each document's first line, whole or cut in half, parsed again."""
-    rows = sentences(_docs(spark, sf_dir)).where("pos = 0")
+    """Answers built from each line, whole or cut short, parsed again."""
+    rows = sentences(_docs(spark, sf_dir))
     text = training.build_answer(F.col("sentence"), F.array().cast("array<struct<was:string,now:string,type:string>>"))
-    cut = F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.left(text, F.char_length(text) - 3))
+    cut = F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, text).otherwise(F.left(text, F.char_length(text) - 3))
     got = training.parse_answer(cut)
-    return rows.select("doc_id", got.alias("a"), "sentence").select("doc_id", F.col("a.complete").alias("complete"), (F.col("a.correction") == F.col("sentence")).alias("same"))
+    return rows.select("doc_id", "pos", got.alias("a"), "sentence").select("doc_id", "pos", F.col("a.complete").alias("complete"), (F.col("a.correction") == F.col("sentence")).alias("same"))
 
 
 def union_provenance(spark, sf_dir):
@@ -198,8 +215,8 @@ def rejection_funnel(spark, sf_dir):
 
 
 def maxmatch_corpus(spark, sf_dir):
-    """MaxMatch of the first line with words dropped against gold that drops the same."""
-    rows = _line_pairs(spark, sf_dir).where("pos = 0").withColumns({"s": F.split("correct", " "), "h": F.split("learner", " ")})
+    """MaxMatch of every line with words dropped against gold that drops half of them."""
+    rows = _line_pairs(spark, sf_dir).withColumns({"s": F.split("correct", " "), "h": F.split("learner", " ")})
     places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (F.col("doc_id") + i) % 14 == 0)
     gold = F.transform(places, lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.lit("").alias("correction")))
     rows = rows.withColumn("counts", kernels.maxmatch_udf("s", "h", gold))
@@ -224,32 +241,42 @@ union all select sid, lang, i, i + 1, upper(w), 'R:NOUN' from tk where k % 19 =
 joined as (select coalesce(g.sid, s.sid) as sid, coalesce(g.start, s.start) as start, coalesce(g."end", s."end") as "end", coalesce(g.correction, s.correction) as correction, g.error_type as gold_type, s.error_type as system_type
   from gold g full outer join system s on g.sid = s.sid and g.start = s.start and g."end" = s."end" and g.correction = s.correction)"""
 _BEAMS = f"""{_SYSTEM}, a as (select sid, list({{'start': start, 'end': "end", 'correction': correction, 'hit': gold_type is not null}} order by start, "end", correction) as l from joined where system_type is not null group by 1),
-b as (select sid, rank::int as rank, l[1:4 - rank] as edits from a, (values (0), (1), (2), (3), (4)) r(rank)),
+b as (select sid, rank::int as rank, list_filter(l, lambda e, i: (i - 1) % 5 >= rank) as edits from a, (values (0), (1), (2), (3), (4)) r(rank)),
 beam as (select sid, rank, edits, len(edits) as distance, len(list_filter(edits, lambda e: e.hit)) as tp from b)"""
+_QUOTED = lambda c: "'\"' || replace(replace(replace(replace(replace(" + c + ", chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r') || '\"'"
 _RATES = """round(coalesce(tp / nullif(tp + fp, 0), 0), 9)::double as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9)::double as recall,
 round(coalesce(1.25 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(0.25 * (tp / nullif(tp + fp, 0)) + (tp / nullif(tp + fn, 0)), 0), 0), 9)::double as f"""
-_FIRST = "first as (select doc_id, trim(string_split(text, chr(10))[1], ' ') as sentence from documents where trim(string_split(text, chr(10))[1], ' ') <> '')"
+_LINES = """lines as (select doc_id, lang, unnest(range(len(l))) as pos, l from (select doc_id, lang, string_split(text, chr(10)) as l from documents)),
+sents as (select doc_id, lang, pos::int as pos, trim(l[pos + 1], ' ') as sentence from lines where trim(l[pos + 1], ' ') <> '')"""
 
 
 def _injection_sql(lang: str) -> str:
-    swap = lambda groups: " union all ".join(f"select doc_id, '{{0}}' as rule, '{{1}}' as error_type from tk, range({len(g) - 1}) where lower(w) in ({', '.join(repr(x) for x in g)})" for g in groups)
-    articles = ", ".join(repr(w) for g in injection.ARTICLES[lang] for w in g)
-    parts = [
-        swap(injection.ARTICLES[lang]).format("article_form", "R:DET:FORM" if lang == "de" else "R:DET"),
-        swap(injection.PREPOSITIONS[lang]).format("preposition", "R:ADP"),
-        f"select doc_id, 'drop_article', 'M:DET' from tk where lower(w) in ({articles})",
-        "select doc_id, 'drop_comma', 'M:PUNCT' from tk where w = ','",
-    ]
+    listed = lambda x: ", ".join(repr(w) for w in x)
+    swap = lambda groups, name, kind, when="true": [f"select doc_id, '{name}', '{kind}' from tk, range({len(g) - 1}) where lower(w) in ({listed(g)}) and {when}" for g in groups]
+    one = lambda name, kind, when: [f"select doc_id, '{name}' as rule, '{kind}' as error_type from tk where {when}"]
+    articles = listed(w for g in injection.ARTICLES[lang] for w in g)
+    noun = lambda c: f"regexp_matches({c}, '^\\pL+$') and length({c}) > 2 and substr({c}, 1, 1) = upper(substr({c}, 1, 1)) and substr({c}, 1, 1) <> lower(substr({c}, 1, 1))"
     if lang == "de":
-        parts += [
-            "select doc_id, 'sharp_s', 'R:SPELL' from tk where contains(w, 'ß')",
-            "select doc_id, 'umlaut', 'R:SPELL' from tk where regexp_matches(w, '[äöüÄÖÜ]')",
-            "select doc_id, 'das_dass', 'R:OTHER' from tk where lower(w) in ('das', 'dass')",
-        ]
+        parts = one("sharp_s", "R:SPELL", "contains(w, 'ß')") + one("umlaut", "R:SPELL", "regexp_matches(w, '[äöüÄÖÜ]')") + one("das_dass", "R:OTHER", "w in ('das', 'dass', 'Das', 'Dass')")
+        parts += swap(injection.ARTICLES[lang], "article_form", "R:DET:FORM") + swap(injection.PREPOSITIONS[lang], "preposition", "R:ADP") + one("drop_article", "M:DET", f"lower(w) in ({articles})")
+        sub, coord = (f"coalesce(lower(nxt), '') in ({listed(x)})" for x in (injection.SUBORDINATORS, injection.COORDINATORS))
+        parts += one("drop_comma_subordinate", "M:PUNCT", f"w = ',' and {sub}") + one("drop_comma_coordinating", "M:PUNCT", f"w = ',' and {coord}") + one("drop_comma", "M:PUNCT", f"w = ',' and not {sub} and not {coord}")
+        parts += one("keyboard", "R:SPELL", "regexp_matches(w, '^\\pL+$') and length(w) >= 4 and regexp_matches(lower(w), '[a-z]')")
+        parts += one("pronoun_form", "R:PRON:FORM", f"lower(w) in ({listed(injection.PRONOUN_SWAP)})") + one("two_way_case", "R:DET:FORM", f"lower(w) in ({listed(injection.PREPOSITIONS['de'][0])}) and lower(nxt) in ({listed(injection.CASE_SWAP)})")
+        parts += one("noun_case", "R:ORTH", f"k % 6 = 0 and i > 0 and {noun('w')}") + one("drop_preposition", "M:ADP", "k % 6 = 1 and i > 0") + one("drop_pronoun", "M:PRON", "k % 6 = 3 and i > 0")
+        parts += one("comma_after_fronted", "U:PUNCT", "k % 6 = 2 and k % 8 <> 2 and k % 12 = 8 and i > 0 and prev <> ','")
+        ends = injection.ADJECTIVE_ENDINGS["de"]
+        tests = " or ".join(f"(ends_with(w, '{e}') and length(w) > {len(e) + 2})" for e in ends)
+        parts += [f"select doc_id, 'adjective_form', 'R:ADJ:FORM' from tk, range({len(ends) - 1}) where k % 6 = 5 and w = lower(w) and {noun('nxt')} and ({tests})"]
+        parts += one("comma_before_und", "U:PUNCT", "k % 6 = 4 and lower(w) in ('und', 'oder') and i > 0 and prev <> ',' and later_finite = 0")
     else:
-        parts += ["select doc_id, 'drop_accent', 'R:ORTH' from tk where regexp_matches(w, '[áéíóúÁÉÍÓÚ]')", "select doc_id, 'drop_inverted_punctuation', 'M:PUNCT' from tk where w in ('¿', '¡')"]
-    return f"""with tk as (select doc_id, unnest({_WORDS("text")}) as w from documents where lang = '{lang}')
-select rule, error_type, count(*) as n, count(distinct doc_id) as documents from ({" union all ".join(parts)}) group by 1, 2"""
+        parts = one("drop_accent", "R:ORTH", "regexp_matches(w, '[áéíóúÁÉÍÓÚ]')") + one("drop_inverted_punctuation", "M:PUNCT", "w in ('¿', '¡')") + swap(injection.PREPOSITIONS[lang], "preposition", "R:ADP")
+        parts += swap(injection.ARTICLES[lang], "article_form", "R:DET:FORM", "k % 4 = 0") + one("drop_article", "M:DET", f"k % 4 = 0 and lower(w) in ({articles})")
+        parts += one("drop_preposition", "M:ADP", "k % 4 = 1 and i > 0 and lower(w) not in ('al', 'del')") + one("drop_object_clitic", "M:PRON", "k % 4 = 2 and k % 8 = 2 and i > 0")
+    return f"""with d as (select doc_id, {_WORDS("text")} as words from documents where lang = '{lang}'), u as (select doc_id, unnest(range(len(words)))::int as i, words from d),
+tk as (select doc_id, i, doc_id + i as k, words[i + 1] as w, words[i + 2] as nxt, case when i > 0 then words[i] end as prev,
+  case when ((2 - (doc_id + i + 1)) % 6 + 6) % 6 < len(words) - i - 1 then 1 else 0 end as later_finite from u)
+select rule, error_type, count(*) as n, count(distinct doc_id) as documents from (select * from (select null::bigint as doc_id, '' as rule, '' as error_type) where false union all {" union all ".join(parts)}) group by 1, 2"""
 
 
 SQL = {
@@ -258,9 +285,9 @@ SQL = {
   case when k % 11 = 0 then 1 when k % 13 = 0 then 0 when k % 17 = 0 then 2 else 1 end as n from tk),
 s as (select sid, string_agg(x, ' ' order by i) as target, sum(n)::int as n_tokens from o group by 1)
 select doc_id as sid, sha256(coalesce(target, '')) as target_sha256, coalesce(n_tokens, 0) as n_tokens from documents left join s on doc_id = sid""",
-    "token_offsets": f"""with {_FIRST}, w as (select doc_id, unnest(range(len({_WORDS("sentence")})))::int as i, {_WORDS("sentence")} as w from first)
-select doc_id, i, (coalesce(sum(length(w[i + 1]) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0))::int as start,
-  (sum(length(w[i + 1]) + 1) over (partition by doc_id order by i) - 1)::int as "end" from w""",
+    "token_offsets": f"""with {_LINES}, w as (select doc_id, pos, unnest(range(len({_WORDS("sentence")})))::int as i, {_WORDS("sentence")} as w from sents)
+select doc_id, pos, i, (coalesce(sum(length(w[i + 1]) + 1) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), 0))::int as start,
+  (sum(length(w[i + 1]) + 1) over (partition by doc_id, pos order by i) - 1)::int as "end" from w""",
     "error_type_histogram": f"with {_GOLD} select lang, error_type, count(*) as n from gold group by 1, 2",
     "edits_per_sentence": f"with {_GOLD}, s as (select sid, count(*) as edits from gold group by 1) select edits, count(*) as n from s group by 1",
     "natural_rates": f"with {_GOLD} select error_type, round(count(*) / sum(count(*)) over (), 9)::double as rate from gold group by 1",
@@ -272,7 +299,7 @@ c as (select count_if(g.sid is not null and s.sid is not null)::bigint as tp, co
     "type_confusions": f"with {_SYSTEM} select gold_type, system_type, count(*) as n from joined where gold_type is not null and system_type is not null group by 1, 2",
     "overcorrection_rate": f"""with {_SYSTEM}, e as (select sid, count(*) as edits from system group by 1)
 select lang, count(*) as sentences, count(edits) as changed, coalesce(sum(edits), 0)::bigint as edits from documents left join e on doc_id = sid where doc_id not in (select sid from gold) group by 1""",
-    "mark_moves": f"""with {_TOKENS}, r as (select sid, i as ordinal, case when k % 13 = 0 then 'U' else 'M' end as op, lower(w) as words from tk where k % 13 = 0 or k % 17 = 0),
+    "mark_moves": f"""with {_TOKENS}, r as (select sid, i as ordinal, case when k % 13 = 0 then 'U' when k % 17 = 0 then 'M' else 'UNK' end as op, lower(w) as words from tk where k % 13 = 0 or k % 17 = 0 or k % 23 = 0),
 l as (select sid, words, max(ordinal) filter (op = 'U') as u, max(ordinal) filter (op = 'M') as m from r group by 1, 2)
 select r.sid, ordinal, coalesce(u is not null and m is not null and ordinal in (u, m), false) as moved from r join l using (sid, words)""",
     "injection_candidates_de": _injection_sql("de"),
@@ -284,10 +311,10 @@ r as (select *, row_number() over (partition by sid order by risk, rank) as rn f
     "preference_pairs": f"""with {_BEAMS}, r as (select *, row_number() over (partition by sid order by distance - 2 * tp, distance, rank) as rn from beam)
 select b.sid, b.rank as chosen_rank, (2 * b.tp - b.distance - (2 * z.tp - z.distance))::int as gain from r b join beam z on b.sid = z.sid and z.rank = 0
 where b.rn = 1 and b.rank > 0 and 2 * b.tp - b.distance > 2 * z.tp - z.distance and b.edits <> z.edits""",
-    "apply_checker": f"with {_FIRST} select doc_id, replace(sentence, 'the', 'THE') as corrected from first",
-    "build_target_json": f"""with {_GOLD} select sid, sha256('{{"correction": "x", "changes": [' || string_agg('{{"was": "", "now": "' || replace(replace(correction, '\\', '\\\\'), '"', '\\"') || '", "type": "' || error_type || '"}}', ', ' order by start) || ']}}') as answer_sha256
-from gold where start < 40 group by 1""",
-    "parse_round_trip": f"with {_FIRST} select doc_id, doc_id % 2 = 0 as complete, true as same from first",
+    "apply_checker": f"with {_LINES} select doc_id, pos, replace(sentence, 'the', 'THE') as corrected from sents",
+    "build_target_json": f"""with {_GOLD}, c as (select sid, string_agg('{{"was": "", "now": ' || {_QUOTED("correction")} || ', "type": "' || error_type || '"}}', ', ' order by start) as changes from gold group by 1)
+select sid, sha256('{{"correction": ' || {_QUOTED("text")} || ', "changes": [' || changes || ']}}') as answer_sha256 from c join documents on doc_id = sid""",
+    "parse_round_trip": f"with {_LINES} select doc_id, pos, (doc_id + pos) % 2 = 0 as complete, true as same from sents",
     "union_provenance": "select case doc_id % 3 when 0 then 'learner' when 1 then 'synthetic' else 'generated' end as source_kind, lang, count(*) as n from documents group by 1, 2",
     "explain_types": f"""with {_SYSTEM} select error_type, case when error_type = 'R:SPELL' then 'The word is misspelled.' when error_type like 'U:%' then 'This ' || lower(split_part(error_type, ':', 2)) || ' isn''t needed.'
   when error_type like 'M:%' then 'A ' || lower(split_part(error_type, ':', 2)) || ' is missing.' else 'This should read differently.' end as explanation, count(*) as n from system group by 1, 2""",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ALLOWED, JUNK, PAIRS, assign_split, normalise, same_compound, tokenize, tokens, typographic
+from ..functions.text import ALLOWED, JUNK, PAIRS, assign_split, normalise, same_compound, tokenize, tokens
 from ..operators import clean, vocabulary
+from ..operators.leniency import folded
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,11 +80,13 @@ def fallback_tokens(spark, sf_dir):
 
 
 def typographic_fold(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(typographic(F.col("text")), 256).alias("folded_sha256"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(folded(F.col("text")), 256).alias("folded_sha256"))
 
 
 def compound_pairs(spark, sf_dir):
-    rows = _read(spark, sf_dir, "part").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("-")).alias("a"), F.replace("p_type", F.lit(" "), F.lit("")).alias("b"))
+    """Names with an en dash or a hyphen against closed ones."""
+    dash = F.when(F.col("p_partkey") % 2 == 0, "–").otherwise("-")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.replace("p_type", F.lit(" "), dash).alias("a"), F.replace("p_type", F.lit(" "), F.lit("")).alias("b"))
     return rows.select("p_partkey", same_compound(F.col("a"), F.lower("b")).alias("same"))
 
 
@@ -150,7 +153,8 @@ _SHARE = "cast('0x' || substr(sha256('{0}:' || doc_id), 1, {1}) as bigint)"
 _SPLIT = f"case when {_SHARE.format('corpus', 13)} / 4503599627370496.0::double < 0.8 then 'train' when {_SHARE.format('corpus', 13)} / 4503599627370496.0::double < 0.8::double + 0.1::double then 'dev' else 'test' end"
 _HIST = f"""{_LINES},
 words as (select lang, unnest({_WORDS("sentence")}) as w from sents),
-hist as (select lower(substr(w, 1, 2)) as token, count(*) as n from words group by 1),
+parts as (select substr(w, 1 + 3 * unnest(range((length(w) + 2) // 3)), 3) as token from words),
+hist as (select token, count(*) as n from parts group by 1),
 run as (select token, n, coalesce(sum(n) over (order by n desc, token rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from hist)"""
 _COVER = f"{_HIST}, cov as (select t.threshold::double as threshold, count(*) as kept from run, (values (0.5), (0.9), (0.99)) t(threshold) where before < t.threshold::double * total group by 1)"
 _LAYERS = """pairs as (select vec_id as layer, label, embedding as a, lead(embedding) over (order by vec_id) as b from embeddings),
@@ -175,7 +179,7 @@ select lang, count_if(length(w) > 3)::bigint as split_words, count(*) as words,
     "trim_projection": f"""with {_COVER} select threshold, kept, 100000 - kept as removed, (100000 - kept) * 2000 as params_saved,
   round((100000 - kept) * 2000 / 1000000000.0, 9)::double as fraction_saved, (100000 - kept) * 4000 as bytes_saved from cov""",
     "fallback_tokens": f"""with {_LINES} select doc_id, sum(len({_WORDS("regexp_replace(sentence, '([.,;:!?…])(\\s|$)', ' \\1\\2', 'g')")}))::bigint as n_tokens from sents group by 1""",
-    "typographic_fold": "select doc_id, sha256(trim(regexp_replace(translate(text, '„“”‚‘’–—' || chr(160), '\"\"\"''''''-- '), '\\s+', ' ', 'g'), ' ')) as folded_sha256 from documents",
+    "typographic_fold": "select doc_id, sha256(trim(regexp_replace(translate(nfc_normalize(text), '„“”‘’–—' || chr(160), '\"\"\"''''-- '), '\\s+', ' ', 'g'), ' ')) as folded_sha256 from documents",
     "compound_pairs": "select p_partkey, contains(replace(p_type, ' ', '-'), '-') <> contains(replace(p_type, ' ', ''), '-') and lower(replace(replace(p_type, ' ', '-'), '-', '')) = lower(replace(replace(p_type, ' ', ''), '-', '')) as same from part",
     "stratified_screen": """with c as (select lang, count(*) as n, sum(count(*)) over () as total from documents group by 1),
 r as (select doc_id, lang, row_number() over (partition by lang order by sha256('screen:' || doc_id)) as rn from documents)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corrections, prose
+from .plans import corrections, evaluation, prose
 
-_PLANS = (prose, corrections)
+_PLANS = (prose, corrections, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

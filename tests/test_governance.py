@@ -1,6 +1,6 @@
 import pytest
 
-from redpen.operators import explanations, governance
+from redpen.operators import governance
 
 
 def test_freeze_and_drift(tmp_path):
@@ -21,25 +21,3 @@ def test_freeze_and_drift(tmp_path):
         governance.load_split(None, manifest, "c", "test")
     with pytest.raises(governance.HeldOutSplitError):
         governance.training_split("dev")
-
-
-SENTENCE = "In meiner Erfahrung entscheidet sich die Reaktionen .".split()
-EDITS = [(5, 6, "R:DET:FORM", "der")]
-
-
-@pytest.mark.parametrize(
-    ("claims", "counts"),
-    [
-        ([("die", "der", "R:DET:FORM")], (1, 1, 1, 1, 1)),
-        ([], (0, 0, 0, 0, 0)),
-        ([("Erfahrung", "Erfahrungen", "R:NOUN")], (1, 1, 0, 0, 0)),
-        ([("Fahrrad", "Rad", "R:NOUN")], (1, 0, 0, 0, 0)),
-    ],
-)
-def test_explanations(claims, counts):
-    got = explanations.score(SENTENCE, EDITS, claims)
-    assert (got.claimed, got.located, got.matched, got.typed, got.covered) == counts
-
-
-def test_zero_width_edit_touches_borders():
-    assert explanations.overlaps((2, 3), 3, 3) and not explanations.overlaps((2, 3), 3, 4)
