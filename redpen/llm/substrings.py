@@ -24,11 +24,10 @@ def word_codes(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-#: An edge that a slice of texts has: two hashes of its words, the word before and the
-#: word behind it (0: none, or not the same at all places), its first place, and how
-#: often the slice has it. Rows of ``check`` 0 are runs of n edges that the slice knows
-#: to repeat.
-_EDGE = "edge bigint, check int, before int, behind int, rid bigint, start int, n int"
+#: An edge that a slice of texts has: a hash of its words, the word before and the word
+#: behind it (0: none, or not the same at all places), its first place, and how often the
+#: slice has it. Rows of n below 0 are runs of -n edges that the slice knows to repeat.
+_EDGE = "edge bigint, before int, behind int, rid bigint, start int, n int"
 _LEFT, _RIGHT, _TWICE, _BITS = 1, 2, 4, 8
 
 
@@ -48,7 +47,7 @@ def _edges_of(rid: np.ndarray, texts: list[str], spans: list[tuple[np.ndarray, n
         short = np.r_[_short(mix64(codes)), np.int32(0)]
         before = np.where(at > 0, short[np.maximum(at, 1) - 1], 0)
         hashes = [window_hashes(codes, window, x)[at] for x in BASES]
-        parts.append((np.full(len(at), r), at, hashes[0].view(np.int64), _short(hashes[1]), before, short[at + window], codes[at], codes[at + window - 1]))
+        parts.append((np.full(len(at), r), at, hashes[0].view(np.int64), hashes[1], before, short[at + window], codes[at], codes[at + window - 1]))
     rids, at, edge, check, before, behind, head, tail = (np.concatenate([p[j] for p in parts]) for j in range(8))
     order = np.lexsort((np.arange(len(at)), check, edge))
     fresh = np.r_[True, (edge[order[1:]] != edge[order[:-1]]) | (check[order[1:]] != check[order[:-1]])] if len(order) else np.zeros(0, bool)
@@ -69,14 +68,13 @@ def _edges_of(rid: np.ndarray, texts: list[str], spans: list[tuple[np.ndarray, n
     zero = np.zeros(len(known), np.int32)
     columns = (
         np.r_[edge[key], mix64(known.astype(np.uint64) + start.astype(np.uint64)).view(np.int64)],
-        np.r_[check[key], zero],
         np.r_[before[key], zero],
         np.r_[behind[key], zero],
         np.r_[rids[key], known],
         np.r_[at[key], start].astype(np.int32),
-        np.r_[count[key], n.astype(np.int32)],
+        np.r_[count[key], -n.astype(np.int32)],
     )
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["edge", "check", "before", "behind", "rid", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["edge", "before", "behind", "rid", "start", "n"])
 
 
 def _marks(edges: DataFrame) -> DataFrame:
@@ -88,13 +86,12 @@ def _marks(edges: DataFrame) -> DataFrame:
     rows of one edge, at most one of each slice of the corpus."""
 
     def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
-        edge, check, before, behind, rid, start, n = columns
-        told = np.flatnonzero(check == 0)
-        asks = np.flatnonzero(check != 0)
-        order = asks[np.lexsort((check[asks], edge[asks]))]
+        edge, before, behind, rid, start, n = columns
+        told, asks = np.flatnonzero(n < 0), np.flatnonzero(n > 0)
+        order = asks[np.argsort(edge[asks], kind="stable")]
         if not len(order):
-            return pa.RecordBatch.from_arrays([pa.array(rid[told]), pa.array(start[told]), pa.array(n[told])], names=["rid", "start", "n"])
-        begin = np.flatnonzero(np.r_[True, (edge[order[1:]] != edge[order[:-1]]) | (check[order[1:]] != check[order[:-1]])])
+            return pa.RecordBatch.from_arrays([pa.array(rid[told]), pa.array(start[told]), pa.array(-n[told])], names=["rid", "start", "n"])
+        begin = np.flatnonzero(np.r_[True, edge[order[1:]] != edge[order[:-1]]])
         size = np.diff(np.r_[begin, len(order)])
         total = np.add.reduceat(n[order].astype(np.int64), begin)
         bits = np.zeros(len(begin), np.int64)
@@ -106,7 +103,7 @@ def _marks(edges: DataFrame) -> DataFrame:
         hit = np.repeat(total > 1, size)
         found = order[hit]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[rid[told], rid[found]]), pa.array(np.r_[start[told], start[found]]), pa.array(np.r_[n[told], -code[hit].astype(np.int32)])], names=["rid", "start", "n"]
+            [pa.array(np.r_[rid[told], rid[found]]), pa.array(np.r_[start[told], start[found]]), pa.array(np.r_[-n[told], -code[hit].astype(np.int32)])], names=["rid", "start", "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +259,9 @@ def deduplicated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     document too. Null text has no words; repeated rows are copies of each other and
     lose all words if they have a window; null ids stay; an empty table gives no rows.
     Words are removed where a path of the compacted graph (``repeated_paths``) is verified:
-    edges meet by 95 bits of hashes, and 128 bits of the path's words, read at its
-    source's coordinates, must stand at another's too."""
+    edges meet by 64 bits of their hash, and 128 bits of the path's words, read at its
+    source's coordinates, must stand at another's too. Strangers that share a hash part
+    their paths and fail there."""
     table = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "words")
     out = _without(table, verified(repeated_paths(table, window)), window, True)
     return out.select(F.col("row.id").alias(id_col), "n_words", "n_removed", F.col("text").alias("kept"))

@@ -325,7 +325,10 @@ def test_compacted_places(spark):
     assert found == Counter({g: n for g, n in grams.items() if n > 1})
 
 
-def test_suffixes(docs, rows, empty):
+@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 1], ids=["sorted", "split"])
+def test_suffixes(docs, rows, empty, bucket, monkeypatch):
+    """With buckets of one context all anchors are split, and what is still alike goes by window."""
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
     window = 400
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = Counter(t[i : i + window] for _, t in texts for i in range(len(t) - window + 1))
