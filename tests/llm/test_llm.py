@@ -207,36 +207,79 @@ def test_lm_learns_starts_and_ends(spark, docs, rows):
     assert lm.scores(short, path).agg(F.avg("score")).first()[0] > -1.0
 
 
+def _model(seed, vocabulary=500):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 50, vocabulary)
+    start = lm.Attention(counts, 7)
+    return lm.Attention(counts, 7, [t + rng.normal(0, 0.1, t.shape).astype(np.float32) for t in start.tensors])
+
+
+def test_lm_is_a_distribution():
+    """Over all subwords and the end, in any context."""
+    model = _model(3)
+    e, _ = model.encode(np.random.default_rng(1).integers(0, 500, (2, lm.WINDOW)), 0)
+    for context in e[:, ::13].reshape(-1, lm.WIDTH):
+        every = model.log_probs(np.repeat(context[None], 501, 0), np.arange(501))
+        assert math.isclose(np.exp(every).sum(), 1, rel_tol=1e-4)
+
+
 def test_attention_gradient():
-    rng = np.random.default_rng(0)
-    model = lm.Attention(rng.normal(0, 0.3, len(lm.Attention.start(np.ones(lm.CLASSES) / lm.CLASSES).flat)))
-    x, y = rng.integers(0, lm.CLASSES, (2, 3, lm.WINDOW))
+    """The first step of each tensor goes along the numerical gradient's sign."""
+    model, rng = _model(0), np.random.default_rng(0)
+    x, y = rng.integers(0, 500, (2, 3, lm.WINDOW))
+    y[0, 5] = 500
     weight = np.ones(x.shape, np.float32)
-    g, loss = model.gradient(x, y, weight)
-    assert math.isclose(loss, -model.log_probs(x, y, 0).mean(), rel_tol=1e-4)
-    direction = rng.normal(0, 1, len(g)).astype(np.float32)
-    step = 1e-3
-    ahead, behind = (-lm.Attention(model.flat + s * direction).log_probs(x, y, 0).mean() for s in (step, -step))
-    assert math.isclose((ahead - behind) / (2 * step), float(g @ direction), rel_tol=0.03)
+    loss = lambda m: -m.log_probs(m.encode(x, 0)[0].reshape(-1, lm.WIDTH), y.ravel()).mean()
+    rate = 1e-6
+    moved = lm.Attention(np.zeros(500), 7, [t.copy() for t in model.tensors])
+    moved.slots = model.slots
+    held = [np.zeros_like(t) for t in model.tensors]
+    assert math.isclose(moved.learn(x, y, weight, held, [np.zeros(len(t)) for t in model.tensors], rate), loss(model), rel_tol=1e-4)
+    for i in range(len(model.tensors)):
+        gradient = np.sqrt(held[i]) * np.sign(model.tensors[i] - moved.tensors[i])
+        direction = rng.normal(0, 1, gradient.shape).astype(np.float32) * (gradient != 0)
+        ends = []
+        for step in (5e-3, -5e-3):
+            other = lm.Attention(np.zeros(500), 7, [t + step * direction if k == i else t for k, t in enumerate(model.tensors)])
+            other.slots = model.slots
+            ends.append(loss(other))
+        assert math.isclose((ends[0] - ends[1]) / 1e-2, float((gradient * direction).sum()), rel_tol=0.05, abs_tol=5e-4), i
 
 
 def test_windows_score_each_token_once():
-    model = lm.Attention(np.random.default_rng(1).normal(0, 0.3, len(lm.Attention.start(np.ones(lm.CLASSES)).flat)))
-    seq = np.random.default_rng(2).integers(0, lm.CLASSES, 90)
+    model = _model(1)
+    seq = np.random.default_rng(2).integers(0, 500, 90)
     got = lm.score_sequences(model, seq, np.array([90]))[0]
     total = 0.0
     for t in range(90):
         begin = 0 if t < lm.WINDOW else (t - lm.WINDOW) // lm.STRIDE * lm.STRIDE + lm.STRIDE
-        x = np.r_[lm.Attention.BEGIN, seq][begin : begin + lm.WINDOW]
-        x = np.pad(x, (0, lm.WINDOW - len(x)))[None]
-        y = np.pad(seq[begin : begin + lm.WINDOW], (0, max(0, lm.WINDOW - len(seq[begin : begin + lm.WINDOW]))))[None]
-        total += model.log_probs(x, y, 0)[0, t - begin]
+        x = np.r_[model.vocabulary + 1, seq][begin : begin + lm.WINDOW]
+        e, _ = model.encode(np.pad(x, (0, lm.WINDOW - len(x)))[None], 0)
+        total += model.log_probs(e[:, t - begin], seq[t : t + 1])[0]
     assert math.isclose(got, total, rel_tol=1e-4)
 
 
-def test_lm_is_a_distribution():
-    of, inner = lm.classes(np.random.default_rng(3).integers(0, 50, 2000))
-    assert np.allclose(np.bincount(of, weights=np.exp(inner)), 1)
+def test_lm_beats_the_base(spark):
+    """On texts that training hasn't seen, whose words have an order to learn."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bdfklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    follow = {w: rng.sample(words, 3) for w in words}
+
+    def text():
+        out = [rng.choice(words)]
+        while len(out) < 60:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id bigint, text string")
+    row = lm.scores(docs, public_tokenizers.path("byte_bpe_50k.json")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert row[0] > row[1]
+
+
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(k, n) for k, n in enumerate([1000, 500, 500, 20, 3, 1, 1])], "k bigint, n bigint")
+    assert sorted(r.n for r in lm.frequent(counts, 3).collect()) == [500, 500, 1000]
+    assert [r.n for r in lm.frequent(counts, 2).collect()] == [1000] and lm.frequent(counts.limit(0), 2).count() == 0
 
 
 def _counts(text):
