@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.scan_sql()}
+    return {"op6_substrings": substrings.deduplicated_sql(), "op8_licenses": licenses.scan_sql()}

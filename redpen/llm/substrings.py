@@ -267,6 +267,18 @@ def deduplicated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     return out.select(F.col("row.id").alias(id_col), "n_words", "n_removed", F.col("text").alias("kept"))
 
 
+def deduplicated_sql(window: int = 35) -> str:
+    """DuckDB SQL for the digest of ``deduplicated`` over ``documents``: windows as strings."""
+    return f"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, w, unnest(range(len(w) - {window - 1})) as i from d where len(w) >= {window}),
+g as (select doc_id, i, array_to_string(w[i + 1:i + {window}], ' ') as words from s),
+r as (select doc_id, i from g where words in (select words from g group by words having count(*) > 1)),
+x as (select distinct doc_id, i + j as p from r, range({window}) t(j)),
+t as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from d),
+k as (select t.doc_id, count(*) as n, string_agg(word, ' ' order by t.p) as kept from t anti join x on t.doc_id = x.doc_id and t.p = x.p group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on d.doc_id = k.doc_id"""
+
+
 def cleaned(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with the words of repeated windows cut out of the text;
     what is left keeps its white space. No row goes; a text may become empty, and a
