@@ -65,15 +65,16 @@ class Lattice:
             out[i + 1] = np.minimum.accumulate(row - steps) + steps
         return out
 
-    def unchanged(self, i: int, j: int, span: int) -> dict[tuple[int, int], int]:
-        """The fewest unchanged tokens on the way from (i, j) to each vertex in reach."""
+    def unchanged(self, i: int, j: int, span: int, most: int) -> dict[tuple[int, int], int]:
+        """The fewest unchanged tokens on the way from (i, j) to each vertex in reach, with
+        ``most`` of them at the utmost."""
         n, m = len(self.source), len(self.hyp)
         least = {(i, j): 0}
-        for a in range(i, min(n, i + span) + 1):
-            for b in range(j, min(m, j + span) + 1):
-                here = least.get((a, b))
-                if here is None:
-                    continue
+        ahead = {0: {i}}
+        for step in range(2 * span + 1):
+            for a in sorted(ahead.pop(step, ())):
+                b = i + j + step - a
+                here = least[(a, b)]
                 ways = []
                 if a < n and b < m and self.diagonal[a, b]:
                     ways.append((a + 1, b + 1, here + bool(self.same[a, b])))
@@ -82,8 +83,9 @@ class Lattice:
                 if b < m and self.insert[a, b]:
                     ways.append((a, b + 1, here))
                 for x, y, k in ways:
-                    if x - i <= span and y - j <= span and k < least.get((x, y), 1 << 30):
+                    if k <= most and x - i <= span and y - j <= span and k < least.get((x, y), 1 << 30):
                         least[(x, y)] = k
+                        ahead.setdefault(x + y - i - j, set()).add(x)
         return least
 
 
@@ -110,8 +112,8 @@ def maxmatch_edits(source: Sequence[str], hyp: Sequence[str], gold: set[tuple[in
             j = at[1]
             if i < n and j < m and grid.diagonal[i, j] and grid.same[i, j]:
                 offer((i + 1, j + 1), cost, None)
-            for (x, y), kept in grid.unchanged(i, j, span).items():
-                if (x, y) == at or kept > max_unchanged or source[i:x] == hyp[j:y]:
+            for x, y in grid.unchanged(i, j, span, max_unchanged):
+                if (x, y) == at or source[i:x] == hyp[j:y]:
                     continue
                 edit = (i, x, " ".join(hyp[j:y]))
                 offer((x, y), (cost[0] - 1, cost[1]) if edit in gold else (cost[0], cost[1] + 1), edit)
