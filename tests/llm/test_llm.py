@@ -8,6 +8,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from redpen.llm import bpe, fingerprints, licenses, lm, nbest, packing, quality, simhash, substrings, suffixes, token_counts
+from redpen.llm import bpe, common, fingerprints, licenses, lm, nbest, packing, quality, simhash, substrings, suffixes, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, row int, id int, bin string, words string"
 
@@ -282,6 +283,41 @@ def test_lm_beats_the_base(spark):
     assert row[0] > row[1]
 
 
+def test_lm_parts_and_disk(spark, docs, monkeypatch):
+    """Parts learn alone from the common start, however tasks hold them, and what training
+    wrote is gone once the model is there."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(lm, "TASK_WINDOWS", 40)
+    gathered = lm._gather(docs.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")), path)
+    windows = gathered.where("kind = 2")
+    rows = windows.selectExpr("ids", "k", "pmod(xxhash64(k), 2) AS round").collect()
+    parts = -(-len(rows) // 80)
+    part = dict(windows.selectExpr("k", f"pmod(hash(k), {parts})").collect())
+    assert parts > spark.sparkContext.defaultParallelism  # so that a task holds more than one
+    counts = np.arange(bpe.ByteModel(path).size) % 7
+    got = lm.train(windows, counts, 30)
+    model = lm.Attention(counts, 30)
+    for r in range(2):
+        moved, learned = [np.zeros(t.shape) for t in model.tensors], [np.zeros(len(t)) for t in model.tensors]
+        for p in range(parts):
+            own = lm.Attention(counts, 30, [t.copy() for t in model.tensors])
+            held, touched = [np.zeros_like(t) for t in own.tensors], [np.zeros(len(t), np.float32) for t in own.tensors]
+            ids = [x.ids for x in sorted((x for x in rows if x.round == r and part[x.k] == p), key=lambda x: x.k)]
+            for k in range(0, len(ids), lm.BATCH):
+                own.learn(*lm._padded(ids[k : k + lm.BATCH], own.vocabulary + 1), held, touched, lm.RATE)
+            for i, t in enumerate(own.tensors):
+                moved[i] += (t - model.tensors[i]) * touched[i].reshape(-1, *[1] * (t.ndim - 1))
+                learned[i] += touched[i]
+        for t, m, w in zip(model.tensors, moved, learned, strict=True):
+            t += m / np.maximum(w, 1).reshape(-1, *[1] * (m.ndim - 1))
+    off = [float((np.abs(x - y) > 1e-3).mean()) for x, y in zip(got.tensors, model.tensors, strict=True)]
+    assert max(off) < 0.01, off  # a first step goes by the sign, which rounding decides where a gradient is next to none
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert lm.scores(docs, path).count() == docs.count()
+    assert {x.name.split("-")[0] for x in set(folder.iterdir()) - before} == {"counts", "scored"}
+
+
 def test_frequent_words(spark):
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([1000, 500, 500, 20, 3, 1, 1])], "k bigint, n bigint")
     assert sorted(r.n for r in lm.frequent(counts, 3).collect()) == [500, 500, 1000]
