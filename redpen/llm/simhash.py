@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, written
+from .common import drop_written, map_texts, mix64, written
 
 #: Blocks of a fingerprint and how many of them two linked ones share: at most 3
 #: differing bits leave 3 of 6 blocks untouched.
@@ -140,19 +140,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The least node of each node's component: rows (node, root), for nodes with edges.
 
     Alternates large-star and small-star steps (each a minimum per node and a join)
-    until nothing changes; every step is written to the shared folder."""
+    until nothing changes; every step is written to the shared folder, and removed when
+    the next one is."""
     spark = edges.sparkSession
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(written(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = written(least, "least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(written(least, "least"), "u")
+        drop_written(now, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "small")
+        drop_written(large, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
