@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from .common import drop_written, map_texts, mix64, written
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
+#: Words of 64 row numbers (16 bytes each) up to which a selection of rows is broadcast.
+BROADCAST_WORDS = 1 << 20
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -262,41 +264,48 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     kind = docs.schema[id_col].dataType.simpleString()
     prints = map_texts(texts, per_slice, f"__id {kind}, node bigint, fp binary, keys array<bigint>, rid bigint", own[id_col], own[text_col], also=("rid",))
     prints = written(prints.where("node is not null"), "prints")
-    # equal sets have equal prints and keys
-    distinct = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    near = components(_long_links(distinct, _bits_for(similarity)))
+    # equal sets have equal prints and keys: one row speaks for a node
+    speakers = written(prints.groupBy("node").agg(F.min("rid").alias("rid")), "speakers")
+    near = components(_long_links(_picked(prints, speakers), _bits_for(similarity)))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
-    near = written(near.join(prints.groupBy("node").agg(F.min("rid").alias("rid")), "node").select("rid", "node", "root"), "near")
-    edges = _verified(texts.select("rid", own[text_col]).join(near, "rid").select("node", "root", own[text_col]), width, similarity)
+    near = written(near.join(speakers, "node").select("rid", "node", "root"), "near")
+    edges = _verified(_picked(texts, near).select("rid", own[text_col]).join(near, "rid").select("node", "root", own[text_col]), width, similarity)
     roots = components(edges)
     classes = prints.select("__id", "rid", F.col("node").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     classes = written(classes.select("__id", "rid", F.coalesce("root", "fp").alias("root")), "classes")
+    drop_written(prints, speakers, near)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("rid").alias("r"))).alias("m"))
     first = written(first.select("root", F.col("m.r").alias("keep")), "first")
-    gone = classes.join(first, "root").where("rid <> keep").select("rid")
-    return rows.join(gone, "rid", "left_anti").select("row.*")
+    gone = written(classes.join(first, "root").where("rid <> keep").select("rid"), "gone")
+    drop_written(classes, first)
+    return _picked(rows, gone, among=False).select("row.*")
 
 
-def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the nodes of each ``root`` as all pairs of the similarity do."""
+def _picked(rows: DataFrame, rids: DataFrame, among: bool = True) -> DataFrame:
+    """The ``rows`` whose rid is among ``rids`` (or isn't), which must be written. Rids
+    become bits of words of 64, up to BROADCAST_WORDS of them broadcast, so rows stay
+    where they are; more are joined."""
+    words = rids.groupBy(F.shiftright("rid", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(rid & 63))")).alias("bits"))
+    words = written(words, "words")
+    if words.count() > BROADCAST_WORDS:
+        drop_written(words)
+        return rows.join(rids.select("rid"), "rid", "left_semi" if among else "left_anti")
+    held = rows.join(F.broadcast(words), F.shiftright("rid", 6) == F.col("word"), "left")
+    return held.where(F.coalesce(F.getbit("bits", F.expr("int(rid & 63)")), F.lit(0).cast("tinyint")) == int(among)).select(*rows.columns)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [_shingles(t.encode(), width).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int64()))], names=["node", "root", "h"])
+def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of each ``root`` as all pairs of the similarity
+    do, from rows (node, root, text). Texts are smaller than their sets, so they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: dict[int, list] = {}
-        for batch in batches:
-            ends = batch.column(2).offsets.to_numpy()
-            flat = batch.column(2).values.to_numpy()
-            for i, (node, root) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                members.setdefault(root, []).append((node, flat[ends[i] : ends[i + 1]]))
-        for group in members.values():
-            a, b = _similar([h for _, h in group], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array([group[i][0] for i in a], pa.int64()), pa.array([group[i][0] for i in b], pa.int64())], names=["a", "b"])
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, members in groupby(rows, lambda row: row[1]):
+            nodes, sets = zip(*((node, _shingles(t.encode(), width)) for node, _, t in members), strict=True)
+            a, b = _similar(list(sets), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in a], pa.int64()), pa.array([nodes[i] for i in b], pa.int64())], names=["a", "b"])
 
-    return texts.mapInArrow(sets, "node bigint, root bigint, h array<bigint>").repartition("root").mapInArrow(run, "a bigint, b bigint")
+    return texts.repartition("root").sortWithinPartitions("root").mapInArrow(run, "a bigint, b bigint")
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -333,7 +342,20 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list
 
 
 def _long_links(distinct: DataFrame, bits: int) -> DataFrame:
-    keyed = distinct.select("node", "fp", F.explode("keys").alias("key"))
+    """Links (a, b) between nodes (node, fp, keys) that share a key, within ``bits``. Most
+    keys are one node's; only those of several are dealt with their prints."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches if len(b)]
+        if held:
+            node, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            same = key[order[1:]] == key[order[:-1]]
+            order = order[np.r_[same, False] | np.r_[False, same]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[order]), pa.array(key[order])], names=["node", "key"])
+
+    keyed = distinct.select("node", F.explode("keys").alias("key")).repartition("key").mapInArrow(shared, "node bigint, key bigint")
+    keyed = written(keyed, "keys").join(distinct.select("node", "fp"), "node").select("node", "fp", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()) for b in batches]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from redpen.llm import common, quality
+from redpen.llm import common, quality, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -63,6 +63,28 @@ def test_quality_rules_copy_no_text(spark, rows):
     assert "SortMergeJoin" not in good._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("most", [simhash.BROADCAST_WORDS, 0])
+def test_near_duplicates_move_no_text(spark, rows, monkeypatch, most):
+    """Rows are written once and picked where they are; what else is written holds no text
+    and goes when the result is known. Without room for a broadcast, joins give the same."""
+    monkeypatch.setattr(simhash, "BROADCAST_WORDS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([*rows[0], rows[0][5], (None, *rows[0][5][1:]), (None, *rows[0][7][1:])], SCHEMA).repartition(3)
+        folder = Path(common.shared_dir(spark).removeprefix("file:"))
+        before = set(folder.iterdir())
+        out = simhash.representatives(docs)
+        made = {p for p in set(folder.iterdir()) - before}
+        assert [p.name.split("-")[0] for p in made if "text" in spark.read.parquet(str(p)).schema.simpleString()] == ["rows"]
+        assert not {"prints", "near", "classes", "first"} & {p.name.split("-")[0] for p in made}
+        assert ("SortMergeJoin" in out._jdf.queryExecution().toString()) == (most == 0)
+        got = sorted((-1 if r.doc_id is None else r.doc_id for r in out.collect()))
+        # all but the near (63), changed (64) and repeated (65) ones, the row that stands twice and those without an id
+        assert got == [*range(63), 66, 67, 68, 69]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
