@@ -253,6 +253,36 @@ def test_attention_gradient():
             assert math.isclose((ends[0] - ends[1]) / 2e-5, went * size.ravel()[at], rel_tol=1e-3, abs_tol=1e-7), name
 
 
+def test_lm_far_scores():
+    """Scores beyond what exp holds in 32 bits, up or down, give what 64 bits give."""
+    model, rng = _model(2), np.random.default_rng(4)
+    model.c += 300 * rng.choice([-1, 0, 1], len(model.c)).astype(np.float32)
+    model.t -= 200
+    e, y = rng.normal(0, 1, (80, lm.WIDTH)).astype(np.float32), rng.integers(0, 501, 80)
+
+    def log_softmax(z, own):
+        return z[own] - z.max() - math.log(np.exp(z - z.max()).sum())
+
+    got = model.log_probs(e, y)
+    for row, target, log in zip(e.astype(float), y, got, strict=True):
+        g, own = divmod(int(model.slots[target]), lm.MEMBERS) if target < 500 else (model.groups, 0)
+        at = slice(g * lm.MEMBERS, (g + 1) * lm.MEMBERS)
+        expect = log_softmax(model.U @ row + model.c, g) + (log_softmax(model.T[at] @ row + model.t[at], own) if target < 500 else 0)
+        assert math.isclose(log, expect, rel_tol=1e-4, abs_tol=1e-3)
+    x, y = rng.integers(0, 500, (2, 3, lm.WINDOW))
+    zeros = [np.zeros_like(t) for t in model.tensors]
+    assert math.isfinite(model.learn(x, y, np.ones(x.shape, np.float32), zeros, [np.zeros(len(t)) for t in zeros], 0.01))
+    assert all(np.isfinite(t).all() for t in model.tensors)
+
+
+def test_lm_tasks_fill_the_cores():
+    """A round's tasks run in whole rounds of the cores, each of a few parts."""
+    assert [lm._tasks(parts, 6) for parts in (1, 6, 14, 48, 70)] == [1, 6, 6, 6, 12]
+    for parts in range(1, 500):
+        tasks = lm._tasks(parts, 6)
+        assert -(-parts // tasks) <= lm.TASK_PARTS and (tasks == parts or tasks % 6 == 0)
+
+
 def test_windows_score_each_token_once():
     model = _model(1)
     seq = np.random.default_rng(2).integers(0, 500, 90)
