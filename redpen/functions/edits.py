@@ -79,17 +79,38 @@ def apply(words: Column, ordered: Column, strict: bool = True) -> Column:
     return F.when(overlapping(ordered), F.raise_error(F.lit("edits overlap")).cast("array<string>")).otherwise(whole) if strict else whole
 
 
+#: Tokens whose offsets are summed up in one go. An array is copied for each value it gains,
+#: so long ones grow by blocks.
+_BLOCK = 64
+
+
 def token_spans(words: Column) -> Column:
     """(start, end) character offsets of each token in the text joined by spaces."""
-    state = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda s, w: F.struct(
-            (s["at"] + F.char_length(w) + 1).alias("at"),
-            F.array_append(s["out"], F.struct(s["at"].alias("start"), (s["at"] + F.char_length(w)).alias("end"))).alias("out"),
-        ),
-    )
-    return state["out"]
+    part = lambda a, b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+
+    def within(sizes: Column, begin: Column) -> Column:
+        state = F.aggregate(
+            sizes,
+            F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), (s["at"] + n - 1).alias("end"))).alias("out")),
+        )
+        return state["out"]
+
+    def blocks(sizes: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / _BLOCK).cast("int") - 1), lambda b: total(part(sizes, b)))
+        begins = F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
+        )["out"]
+        return F.flatten(F.transform(begins, lambda at, b: within(part(sizes, b), at)))
+
+    def spans(sizes: Column) -> Column:
+        return F.when(F.size(sizes) <= _BLOCK, within(sizes, F.lit(0))).otherwise(blocks(sizes))
+
+    # held in an array of one, the sizes are found once
+    return F.transform(F.array(F.transform(words, lambda w: F.char_length(w) + 1)), spans)[0]
 
 
 def occurrences(words: Column, window: Column) -> Column:

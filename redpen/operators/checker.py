@@ -66,11 +66,25 @@ def windows(edits: DataFrame, spans: Column, tolerance: int = 1) -> DataFrame:
     return edits.withColumn("low", F.when(~behind, F.get(spans, first)["start"])).withColumn("high", F.when(~behind, end))
 
 
+#: Characters of a block in which matches and windows meet.
+_BLOCK = 256
+
+
+def _blocks(begin: Column, end: Column) -> Column:
+    """The blocks of characters that [begin, end) reaches into; null where it is empty."""
+    block = lambda at: F.floor(at / _BLOCK)
+    return F.when(begin < end, F.sequence(block(begin), block(end - 1)))
+
+
 def attributed(matches: DataFrame, windowed: DataFrame) -> DataFrame:
     """Each match (sid, match, offset, length, rule_id) with the edit (``ordinal``,
     error_type) of its sentence whose window it shares most characters with, the first of
-    equal ones; matches that share none with any go."""
-    joined = matches.join(windowed.select("sid", "ordinal", "error_type", "low", "high"), "sid")
+    equal ones; matches that share none with any go. They meet by blocks of characters, so
+    a long sentence's matches aren't compared with all of its edits; a pair that meets in
+    two blocks is one pair twice and counts the same."""
+    edits = windowed.select("sid", "ordinal", "error_type", "low", "high", F.explode(_blocks(F.col("low"), F.col("high"))).alias("block"))
+    asked = matches.select("sid", "match", "offset", "length", "rule_id", F.explode(_blocks(F.col("offset"), F.col("offset") + F.col("length"))).alias("block"))
+    joined = asked.join(edits, ["sid", "block"])
     shared = F.least(F.col("offset") + F.col("length"), F.col("high")) - F.greatest("offset", "low")
     best = joined.withColumn("shared", shared).where("shared > 0").groupBy("sid", "match").agg(F.min_by(F.struct("ordinal", "error_type", "rule_id"), F.struct(-F.col("shared"), F.col("ordinal"))).alias("b"))
     return best.select("sid", "match", "b.*")
@@ -79,9 +93,11 @@ def attributed(matches: DataFrame, windowed: DataFrame) -> DataFrame:
 def detection(windowed: DataFrame, hits: DataFrame) -> DataFrame:
     """By error type: injected errors, those that a match is about, and the rule that is
     most often (the first by name of equal ones)."""
+    # both uses of the hits read the same columns, so that they are found once
+    hits = hits.groupBy("sid", "ordinal", "error_type", "rule_id").agg(F.count("*").alias("n"))
     found = hits.select("sid", "ordinal").distinct().withColumn("hit", F.lit(1))
     counts = windowed.join(found, ["sid", "ordinal"], "left").groupBy("error_type").agg(F.count("*").alias("injected"), F.count("hit").alias("detected"))
-    rules = hits.groupBy("error_type", "rule_id").agg(F.count("*").alias("n"))
+    rules = hits.groupBy("error_type", "rule_id").agg(F.sum("n").alias("n"))
     top = rules.groupBy("error_type").agg(F.min_by("rule_id", F.struct(-F.col("n"), F.col("rule_id"))).alias("top_rule"))
     return counts.join(top, "error_type", "left")
 
