@@ -18,9 +18,13 @@ def divergence(pairs: DataFrame) -> DataFrame:
 
 def repeats(words: Column, limit: int = 3) -> Column:
     """Whether a token stands more than ``limit`` times in a row."""
-    last = F.size(words) - limit
-    same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(limit)), lambda k: F.get(words, i + k) == F.get(words, i))
-    return F.when(last < 1, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), last - 1), same))
+    def found(w: Column) -> Column:
+        last = F.size(w) - limit
+        same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(limit)), lambda k: F.get(w, i + k) == F.get(w, i))
+        return F.when(last < 1, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), last - 1), same))
+
+    # held in an array of one, the words are found once, not at each place
+    return F.transform(F.array(words), found)[0]
 
 
 def rejection(pairs: DataFrame, threshold: float) -> DataFrame:
