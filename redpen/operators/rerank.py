@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations, groupby
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
-from .kernels import token_distance_udf
+from .kernels import differing, token_distance
 
 
 def pick(beam: DataFrame, score: Column, sid: str = "sid", rank: str = "rank") -> DataFrame:
@@ -56,15 +55,66 @@ def at_random(beam: DataFrame, seed: str) -> DataFrame:
     return beam.groupBy("sid").agg(F.min_by("rank", key).alias("picked"))
 
 
+def _over_lists(beam: DataFrame, columns: list[str], more: str, add: Callable[[list[dict]], None]) -> DataFrame:
+    """``columns`` of the beam with the columns ``more``, which ``add`` puts into the rows of
+    one list, given with all that the beam has. Lists are dealt out once and read one by
+    one, so a task holds a batch and a list."""
+    made = T.StructType.fromDDL(more)
+    out = T.StructType([*[beam.schema[c] for c in columns], *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(made)
+
+        def whole(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = part.select(read).to_pylist()
+            for _, own in groupby(rows, key=lambda r: r["sid"]):
+                add(list(own))
+            part = part.select(columns)
+            for field in kinds:
+                part = part.append_column(field, pa.array([r[field.name] for r in rows], field.type))
+            yield from part.combine_chunks().to_batches()
+
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            sids, end = held["sid"].to_pylist(), held.num_rows
+            while end and sids[end - 1] == sids[-1]:
+                end -= 1
+            if end:
+                yield from whole(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield from whole(held)
+
+    read = [c for c in ("sid", "text", "source", "score") if c in beam.columns]
+    return beam.where("sid is not null").repartition("sid").sortWithinPartitions("sid").mapInArrow(run, out)
+
+
+def _risks(rows: list[dict]) -> None:
+    """Adds ``risk`` and ``identical`` to the rows of one list: a pair is compared once."""
+    words = [None if r["text"] is None else r["text"].split() for r in rows]
+    for r in rows:
+        r["risk"], r["identical"] = (None, -1) if r["text"] is None else (0, 0)
+    for (x, a), (y, b) in combinations(zip(rows, words, strict=True), 2):
+        if a is None or b is None:
+            continue
+        if x["text"] == y["text"]:
+            x["identical"] += 1
+            y["identical"] += 1
+        else:
+            apart = token_distance(a, b)
+            x["risk"] += apart
+            y["risk"] += apart
+
+
 def distances(beam: DataFrame) -> DataFrame:
     """``beam`` (sid, rank, text) with ``risk``, the sum of token distances to the list's
     other candidates, and ``identical``, how many of them read alike. Lists hold a few
-    candidates, and copies of one list meet once."""
-    other = beam.select("sid", F.col("rank").alias("_rank"), F.col("text").alias("_text"))
-    apart = F.when(F.col("text") == F.col("_text"), 0).otherwise(token_distance_udf(tokens(F.col("text")), tokens(F.col("_text"))))
-    pairs = beam.select("sid", "rank", "text").join(other, "sid").withColumn("apart", apart)
-    sums = pairs.groupBy("sid", "rank").agg(F.sum("apart").alias("risk"), (F.count_if(F.col("text") == F.col("_text")) - 1).alias("identical"))
-    return beam.join(sums, ["sid", "rank"])
+    candidates, which are read together."""
+    return _over_lists(beam, beam.columns, "risk bigint, identical bigint", _risks)
 
 
 def least_risk(beam: DataFrame) -> DataFrame:
@@ -72,24 +122,30 @@ def least_risk(beam: DataFrame) -> DataFrame:
     return pick(distances(beam), -F.col("risk")).withColumn("value", -F.col("value"))
 
 
-@F.pandas_udf(T.IntegerType())
-def operations_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many stretches differ between two token lists by their matching blocks."""
-    return pd.Series([sum(o[0] != "equal" for o in difflib.SequenceMatcher(None, list(x), list(y)).get_opcodes()) for x, y in zip(a, b, strict=True)], dtype="int32")
+FEATURES = ("score", "margin", "rank", "edits", "edit_share", "longer", "operations", "mean_risk", "identical")
 
 
-FEATURES = ("score", "margin", "rank", "edits", "edit_share", "longer", "operations", "mean_risk", "identical")
+def _featured(rows: list[dict]) -> None:
+    """Adds what features are made of to the rows of one list."""
+    _risks(rows)
+    scores = [r["score"] for r in rows if r["score"] is not None]
+    best = next((x for x in scores if x != x), max(scores, default=None))
+    for r in rows:
+        a, b = (None if r[c] is None else r[c].split() for c in ("source", "text"))
+        r["best"], r["others"] = best, len(rows) - 1
+        r["before"], r["after"] = (None if x is None else len(x) for x in (a, b))
+        r["edits"], r["operations"] = (None, None) if a is None or b is None else (token_distance(a, b), differing(a, b))
 
 
 def features(beam: DataFrame) -> DataFrame:
     """FEATURES of every candidate; no gold is looked at. ``beam`` has sid, rank, score, text
     and ``source``."""
-    own = Window.partitionBy("sid")
-    a, b = tokens(F.col("source")), tokens(F.col("text"))
-    rows = distances(beam).withColumn("edits", token_distance_udf(a, b))
+    beam = beam.withColumn("score", F.col("score").cast("double"))
+    more = "risk bigint, identical bigint, best double, others int, before int, after int, edits int, operations int"
+    rows = _over_lists(beam, ["sid", "rank", "score"], more, _featured)
     columns = (
-        F.col("score"), F.col("score") - F.max("score").over(own), F.col("rank").cast("double"), F.col("edits").cast("double"), F.col("edits") / F.greatest(F.size(a), F.lit(1)),
-        (F.size(b) - F.size(a)).cast("double"), operations_udf(a, b).cast("double"), F.col("risk") / F.greatest(F.count("*").over(own) - 1, F.lit(1)), F.col("identical").cast("double"),
+        F.col("score"), F.col("score") - F.col("best"), F.col("rank").cast("double"), F.col("edits").cast("double"), F.col("edits") / F.greatest(F.col("before"), F.lit(1)),
+        (F.col("after") - F.col("before")).cast("double"), F.col("operations").cast("double"), F.col("risk") / F.greatest(F.col("others"), F.lit(1)), F.col("identical").cast("double"),
     )
     return rows.select("sid", F.col("rank").alias("candidate"), *[c.alias(n) for c, n in zip(columns, FEATURES, strict=True)])
 
