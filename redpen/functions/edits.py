@@ -29,8 +29,9 @@ def correction_tokens(e: Column) -> Column:
 def edits_for(edits: Column, annotator: int = 0, noops: bool = False) -> Column:
     """One annotator's edits in the order of (start, end), stored order among equals."""
     own = F.filter(edits, lambda e: (e["annotator"] == annotator) if noops else (e["annotator"] == annotator) & ~is_noop(e))
-    keyed = F.transform(own, lambda e, i: F.struct(e["start"].alias("s"), e["end"].alias("t"), i.alias("i"), e.alias("e")))
-    return F.transform(F.array_sort(keyed, lambda a, b: _order(a, b)), lambda k: k["e"])
+    keyed = lambda o: F.array_sort(F.transform(o, lambda e, i: F.struct(e["start"].alias("s"), e["end"].alias("t"), i.alias("i"))))
+    # held in an array of one, the edits are found once
+    return F.transform(F.array(own), lambda o: F.transform(keyed(o), lambda k: F.get(o, k["i"])))[0]
 
 
 def is_correct(edits: Column, annotator: int = 0) -> Column:
@@ -43,13 +44,6 @@ def source(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def _order(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for f in ("i", "t", "s"):
-        out = F.when(a[f] < b[f], -1).when(a[f] > b[f], 1).otherwise(out)
-    return out
-
-
 def annotators(edits: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(edits, lambda e: e["annotator"])))
 
@@ -64,19 +58,37 @@ def overlapping(ordered: Column) -> Column:
     return state["bad"]
 
 
-def apply(words: Column, ordered: Column, strict: bool = True) -> Column:
-    """The corrected tokens. ``strict`` raises on overlaps; otherwise an edit that begins
-    before the last one ended is skipped."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _fitting(ordered: Column) -> Column:
+    """The edits that don't begin before the last one of them ended."""
+    kind = "array<int>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("skipped"))
+    numbered = F.transform(ordered, lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), i.alias("i")))
 
     def step(s: Column, e: Column) -> Column:
-        gap = F.slice(words, s["at"] + 1, F.greatest(e["start"] - s["at"], F.lit(0)))
-        done = F.struct(e["end"].alias("at"), F.concat(s["out"], gap, correction_tokens(e)).alias("out"))
-        return F.when(e["start"] < s["at"], s).otherwise(done)
+        return F.when(e["start"] < s["at"], F.struct(s["at"].alias("at"), F.array_append(s["skipped"], e["i"]).alias("skipped"))).otherwise(F.struct(e["end"].alias("at"), s["skipped"].alias("skipped")))
 
-    end = F.aggregate(ordered, start, step)
-    whole = F.concat(end["out"], F.slice(words, end["at"] + 1, F.size(words)))
-    return F.when(overlapping(ordered), F.raise_error(F.lit("edits overlap")).cast("array<string>")).otherwise(whole) if strict else whole
+    skipped = F.transform(F.array(F.aggregate(numbered, start, step)["skipped"]), lambda k: F.when(F.size(k) == 0, ordered).otherwise(F.filter(ordered, lambda e, i: ~F.array_contains(k, i))))
+    return skipped[0]
+
+
+def apply(words: Column, ordered: Column, strict: bool = True) -> Column:
+    """The corrected tokens. ``strict`` raises on overlaps; otherwise an edit that begins
+    before the last one ended is skipped. Every edit gives what stands between the one before
+    and itself, and its correction; these are put together once."""
+
+    def corrected(b: Column) -> Column:
+        w, own = b["w"], b["e"]
+        ended = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        parts = F.transform(own, lambda e, i: F.concat(F.slice(w, ended(i) + 1, F.greatest(e["start"] - ended(i), F.lit(0))), correction_tokens(e)))
+        return F.concat(F.flatten(parts), F.slice(w, ended(F.size(own)) + 1, F.size(w)))
+
+    def whole(b: Column) -> Column:
+        out = corrected(b)
+        return F.when(overlapping(b["e"]), F.raise_error(F.lit("edits overlap")).cast("array<string>")).otherwise(out) if strict else out
+
+    # held in arrays of one, words and edits are found once
+    held = F.transform(F.array(ordered), lambda e: F.struct(words.alias("w"), (e if strict else _fitting(e)).alias("e")))
+    return F.transform(held, whole)[0]
 
 
 #: Tokens whose offsets are summed up in one go. An array is copied for each value it gains,
