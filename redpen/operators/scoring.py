@@ -38,9 +38,9 @@ def mark_moves(edits: DataFrame) -> DataFrame:
     same key the last counts."""
     category = F.get(F.split("error_type", ":"), F.lit(1))
     keyed = edits.withColumn("category", category).withColumn("op", F.substring("error_type", 1, 1))
-    last = keyed.where("op in ('U', 'M') and category is not null").groupBy("sid", "category", "words", "op").agg(F.max("ordinal").alias("ordinal"))
-    pairs = last.where("op = 'U'").alias("u").join(last.where("op = 'M'").alias("m"), ["sid", "category", "words"])
-    moved = pairs.select("sid", F.explode(F.array("u.ordinal", "m.ordinal")).alias("ordinal")).withColumn("moved", F.lit(True))
+    of = lambda op: F.max(F.when(F.col("op") == op, F.col("ordinal")))
+    pairs = keyed.where("op in ('U', 'M') and category is not null and words is not null").groupBy("sid", "category", "words").agg(of("U").alias("u"), of("M").alias("m")).where("u is not null and m is not null")
+    moved = pairs.select("sid", F.explode(F.array("u", "m")).alias("ordinal")).withColumn("moved", F.lit(True))
     return edits.join(moved, ["sid", "ordinal"], "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
 
 

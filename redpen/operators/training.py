@@ -153,11 +153,12 @@ def training_records(sentences: DataFrame, templates: Templates, origin: str) ->
     of one annotator without noops), every edit explained by its type. Of a deletion and an
     insertion of the same word and category both are told as one move, and their rule is
     ``origin``-move; of several with one key the last counts."""
-    def told(e: Column, i: Column) -> Column:
-        wrong = F.array_join(F.slice("tokens", e["start"] + 1, F.greatest(e["end"] - e["start"], F.lit(0))), " ")
-        return F.struct(i.alias("ordinal"), *[e[f].alias(f) for f in ("start", "end", "error_type", "correction")], wrong.alias("wrong"))
+    def told(w: Column) -> Column:
+        wrong = lambda e: F.array_join(F.slice(w, e["start"] + 1, F.greatest(e["end"] - e["start"], F.lit(0))), " ")
+        return F.transform("edits", lambda e, i: F.struct(i.alias("ordinal"), *[e[f].alias(f) for f in ("start", "end", "error_type", "correction")], wrong(e).alias("wrong")))
 
-    each = sentences.select("sid", F.explode(F.transform("edits", told)).alias("e")).select("sid", "e.*")
+    # held in an array of one, the tokens are found once, not for each edit
+    each = sentences.select("sid", F.explode(F.transform(F.array("tokens"), told)[0]).alias("e")).select("sid", "e.*")
     words = F.when(F.startswith("error_type", F.lit("U:")), F.col("wrong")).otherwise(F.col("correction"))
     each = mark_moves(each.withColumn("words", words))
     text = F.when(F.col("moved"), _filled(F.lit(templates.move), word=F.col("words"))).otherwise(explained_type(F.col("error_type"), F.col("wrong"), F.col("correction"), templates))
