@@ -32,11 +32,14 @@ def oracle(beam: DataFrame) -> DataFrame:
 
 
 def minimum_risk(beam: DataFrame) -> DataFrame:
-    """The candidate nearest to its siblings: lists hold a few candidates, so a pair of a
-    list is joined on the list alone. ``edits`` is the set of a candidate's edits."""
-    other = beam.select("sid", F.col("edits").alias("theirs"))
-    apart = F.size(F.array_union("edits", "theirs")) - F.size(F.array_intersect("edits", "theirs"))
-    risk = beam.join(other, "sid").groupBy("sid", "rank").agg(F.sum(apart).alias("risk"))
+    """The candidate nearest to its siblings: lists hold a few candidates, which are brought
+    together once. ``edits`` is the set of a candidate's edits; two are apart by what only
+    one of them has. Edits are compared as JSON, as only sets of texts are hashed."""
+    keys = F.array_distinct(F.transform("edits", lambda e: F.to_json(F.struct(e.alias("e")))))
+    lists = beam.where("sid is not null").select("sid", F.struct("rank", keys.alias("keys")).alias("c")).groupBy("sid").agg(F.collect_list("c").alias("all"))
+    apart = lambda x, y: F.size(x["keys"]) + F.size(y["keys"]) - 2 * F.size(F.array_intersect(x["keys"], y["keys"]))
+    risks = F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), F.aggregate("all", F.lit(0).cast("bigint"), lambda n, y: n + apart(x, y)).alias("risk")))
+    risk = lists.select("sid", F.explode(risks).alias("r")).select("sid", "r.*")
     return pick(risk, -F.col("risk")).withColumn("value", -F.col("value"))
 
 
