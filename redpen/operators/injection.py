@@ -83,7 +83,9 @@ class Sentence:
     number ``i``, the token ``w``, its lower case ``l`` and its parsed token ``t``. It is made
     of a struct (words, parse, places), so nothing is computed twice."""
 
-    def __init__(self, bound: Column):
+    def __init__(self, bound: Column, bare: bool = False):
+        #: Without a parse, rules that need one have nothing to look at.
+        self.bare = bare
         self.words, self.parse, self.places = bound["words"], bound["parse"], bound["places"]
 
     @staticmethod
@@ -108,9 +110,17 @@ class Sentence:
         """Tokens from ``begin`` up to ``end``, none if it isn't after."""
         return F.slice(self.words, begin + 1, F.greatest(end - begin, F.lit(0)))
 
-    def governs(self, x: Column, test: Callable[[Column, Column], Column]) -> Column:
-        """Whether a dependant of the place (its parsed token and place) passes the test."""
-        return F.exists(F.transform(self.parse, lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda c: (c["t"]["head"] == x["i"]) & (c["k"] != x["i"]) & test(c["t"], c["k"]))
+    def governors(self, test: Callable[[Column, Column], Column], use: Callable[[Column], Column]) -> Column:
+        """What ``use`` makes of the places that have a dependant (its parsed token and place)
+        that passes the test; they are found once. A test that is null passes."""
+        dependants = F.filter(F.transform(self.parse, lambda t, k: F.when((t["head"] != k) & F.coalesce(test(t, k), F.lit(True)), t["head"])), lambda h: h.isNotNull())
+        return F.transform(F.array(F.array_distinct(dependants)), use)[0]
+
+    def last(self, test: Callable[[Column], Column], use: Callable[[Column], Column]) -> Column:
+        """What ``use`` makes of the last place that passes the test, -1 if none does; found
+        once. A test that is null passes."""
+        found = F.array_max(F.transform(self.parse, lambda t, k: F.when(F.coalesce(test(t), F.lit(True)), k)))
+        return F.transform(F.array(F.coalesce(found, F.lit(-1))), use)[0]
 
     def is_noun(self, at: Column) -> Column:
         w = self.word(at)
@@ -206,7 +216,7 @@ def _german(s: Sentence) -> list[Column]:
         lambda x: tag(x, "NN") & case(x, "Gen", "Sing") & F.endswith(x["w"], F.lit(ending)) & (F.char_length(x["w"]) > len(ending) + 2) & unless(x),
         _put(lambda x: _without(x, ending), "R:NOUN:FORM", "genitive_s", known=lambda x: _without(x, ending)),
     )
-    return [
+    free = [
         _others(s, ARTICLES["de"], "R:DET:FORM", "article_form"),
         _others(s, PREPOSITIONS["de"], "R:ADP", "preposition"),
         s.each(lambda x: x["l"].isin(*[w for g in ARTICLES["de"] for w in g]), _drop("M:DET", "drop_article")),
@@ -217,7 +227,8 @@ def _german(s: Sentence) -> list[Column]:
         _keyboard(s, "de", False),
         _swap(s, PRONOUN_SWAP, "R:PRON:FORM", "pronoun_form"),
         s.each(lambda x: x["l"].isin(*PREPOSITIONS["de"][0]) & after(x).isin(*CASE_SWAP), lambda x: _edit(x["i"] + 1, x["i"] + 2, _cased(s.word(x["i"] + 1), swap_case[after(x)]), "R:DET:FORM", "two_way_case")),
-        # with a parse
+    ]
+    return free if s.bare else free + [
         s.each(lambda x: tag(x, "NN") & s.is_noun(x["i"]), _put(lambda x: x["l"], "R:ORTH", "noun_case")),
         _endings(s, "de", lambda x: tag(x, "ADJA") & (x["w"] == x["l"]) & s.is_noun(x["i"] + 1), 2),
         s.each(lambda x: tag(x, "KOUS") & head(x)["tag"].isin(*FINITE) & (gov(x) > x["i"] + 3), lambda x: _edit(x["i"] + 1, gov(x) + 1, F.array_join(clause(x), " "), "R:WO", "verb_final")),
@@ -225,7 +236,10 @@ def _german(s: Sentence) -> list[Column]:
         s.each(lambda x: (x["i"] > 0) & (tag(x, "PRF") | (tag(x, "PPER") & (x["t"]["dep"] == "sb"))), _drop("M:PRON", "drop_pronoun")),
         s.each(lambda x: (x["i"] > 0) & tag(x, "APPR"), _drop("M:ADP", "drop_preposition")),
         _others(s, AUXILIARIES, "R:AUX:FORM", "auxiliary_form", lambda x: tag(x, "VAFIN")),
-        s.each(lambda x: (x["i"] > 0) & tag(x, "VAFIN") & s.governs(x, lambda c, _: c["tag"].isin(*PARTICIPLES)), _drop("M:AUX", "drop_auxiliary")),
+        s.governors(
+            lambda c, _: F.coalesce(c["tag"].isin(*PARTICIPLES), F.lit(False)),
+            lambda heads: s.each(lambda x: (x["i"] > 0) & tag(x, "VAFIN") & F.array_contains(heads, x["i"]), _drop("M:AUX", "drop_auxiliary")),
+        ),
         s.each(
             lambda x: tag(x, "VVFIN", "VMFIN") & (x["t"]["lemma"] != "") & (F.lower(x["t"]["lemma"]) != x["l"]),
             lambda x: _edit(x["i"], x["i"] + 1, infinitive(x), F.when(tag(x, "VMFIN"), "R:AUX:FORM").otherwise("R:VERB:FORM"), "verb_infinitive", known=x["t"]["lemma"]),
@@ -237,13 +251,19 @@ def _german(s: Sentence) -> list[Column]:
             lambda x: tag(x, "NN") & case(x, "Dat", "Plur") & F.endswith(x["w"], F.lit("n")) & (F.char_length(x["w"]) > 4),
             _put(lambda x: _without(x, "n"), "R:NOUN:FORM", "dative_plural_n", known=lambda x: _without(x, "n")),
         ),
-        s.each(
-            lambda x: tag(x, *FINITE) & (x["t"]["dep"] == "ROOT") & (x["i"] > 0) & (s.word(x["i"] - 1) != ",") & ~s.governs(x, lambda c, k: (c["dep"] == "sb") & (k < x["i"])),
-            lambda x: _edit(x["i"], x["i"], F.lit(","), "U:PUNCT", "comma_after_fronted"),
+        s.governors(
+            lambda c, k: (c["dep"] == "sb") & (k < c["head"]),
+            lambda heads: s.each(
+                lambda x: tag(x, *FINITE) & (x["t"]["dep"] == "ROOT") & (x["i"] > 0) & (s.word(x["i"] - 1) != ",") & ~F.array_contains(heads, x["i"]),
+                lambda x: _edit(x["i"], x["i"], F.lit(","), "U:PUNCT", "comma_after_fronted"),
+            ),
         ),
-        s.each(
-            lambda x: tag(x, "KON") & x["l"].isin("und", "oder") & (x["i"] > 0) & (s.word(x["i"] - 1) != ",") & ~F.exists(F.slice(s.parse, x["i"] + 2, F.size(s.words)), lambda t: t["tag"].isin(*FINITE)),
-            lambda x: _edit(x["i"], x["i"], F.lit(","), "U:PUNCT", "comma_before_und"),
+        s.last(
+            lambda t: t["tag"].isin(*FINITE),
+            lambda finite: s.each(
+                lambda x: tag(x, "KON") & x["l"].isin("und", "oder") & (x["i"] > 0) & (s.word(x["i"] - 1) != ",") & (finite <= x["i"]),
+                lambda x: _edit(x["i"], x["i"], F.lit(","), "U:PUNCT", "comma_before_und"),
+            ),
         ),
     ]
 
@@ -254,19 +274,23 @@ def _spanish(s: Sentence) -> list[Column]:
     articles, pronouns = [w for g in ARTICLES["es"] for w in g], _table(SUBJECT_PRONOUNS)
     person = lambda x: F.concat(morph(x, "Person"), morph(x, "Number"))
     before = lambda x: s.between(F.greatest(x["i"] - 4, F.lit(0)), x["i"])
-    return [
+    free = [
         s.each(lambda x: x["w"].rlike("[áéíóúÁÉÍÓÚ]"), _put(lambda x: F.translate(x["w"], "áéíóúÁÉÍÓÚ", "aeiouAEIOU"), "R:ORTH", "drop_accent")),
         _keyboard(s, "es", True),
         s.each(lambda x: x["w"].isin("¿", "¡"), _drop("M:PUNCT", "drop_inverted_punctuation")),
         _others(s, PREPOSITIONS["es"], "R:ADP", "preposition"),
-        # with a parse
+    ]
+    return free if s.bare else free + [
         _others(s, ARTICLES["es"], "R:DET:FORM", "article_form", lambda x: pos(x, "DET")),
         s.each(lambda x: pos(x, "DET") & x["l"].isin(*articles), _drop("M:DET", "drop_article")),
         _endings(s, "es", lambda x: pos(x, "ADJ"), 2),
         s.each(lambda x: (x["i"] > 0) & pos(x, "ADP") & ~x["l"].isin("al", "del"), _drop("M:ADP", "drop_preposition")),
-        s.each(
-            lambda x: (x["i"] > 0) & pos(x, "VERB", "AUX") & (morph(x, "VerbForm") == "Fin") & person(x).isin(*SUBJECT_PRONOUNS) & ~s.governs(x, lambda c, _: c["dep"].isin("nsubj", "nsubj:pass", "expl")),
-            lambda x: _edit(x["i"], x["i"], pronouns[person(x)], "U:PRON", "redundant_subject_pronoun"),
+        s.governors(
+            lambda c, _: c["dep"].isin("nsubj", "nsubj:pass", "expl"),
+            lambda heads: s.each(
+                lambda x: (x["i"] > 0) & pos(x, "VERB", "AUX") & (morph(x, "VerbForm") == "Fin") & person(x).isin(*SUBJECT_PRONOUNS) & ~F.array_contains(heads, x["i"]),
+                lambda x: _edit(x["i"], x["i"], pronouns[person(x)], "U:PRON", "redundant_subject_pronoun"),
+            ),
         ),
         s.each(lambda x: (x["i"] > 0) & pos(x, "PRON") & x["t"]["dep"].isin("obj", "iobj", "expl"), _drop("M:PRON", "drop_object_clitic")),
         _swap(s, SER_ESTAR, "R:AUX", "ser_estar", lambda x: pos(x, "AUX") & (x["t"]["dep"] == "cop") & (F.get(s.parse, x["t"]["head"])["pos"] != "PROPN")),
@@ -294,7 +318,7 @@ def register(lang: str):
 
 def asking(words: Column, lang: str, parse: Column | None = None) -> Column:
     """All candidates of a language's rules with what they ask of the dictionary."""
-    every = lambda s: F.concat(*[F.coalesce(p, F.array().cast(f"array<{ASKING}>")) for rule in RULES[lang] for p in rule(Sentence(s))])
+    every = lambda s: F.concat(*[F.coalesce(p, F.array().cast(f"array<{ASKING}>")) for rule in RULES[lang] for p in rule(Sentence(s, parse is None))])
     return F.transform(Sentence.bind(words, parse), every)[0]
 
 
@@ -305,14 +329,22 @@ def candidates(words: Column, lang: str, parse: Column | None = None) -> Column:
     return F.transform(free, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "correction", "error_type", "rule")]))
 
 
+def exploded(rows: DataFrame, found: Column, *columns: str) -> DataFrame:
+    """``columns`` and ``c``, each of the structs of an array. The planner puts a filter on
+    its size below an inner explode, which would find the array again; not below this one."""
+    return rows.select(*columns, F.explode_outer(found).alias("c")).where("c is not null")
+
+
 def with_dictionary(rows: DataFrame, dictionary: DataFrame, words: str = "tokens", parse: str | None = None, lang: str = "de") -> DataFrame:
     """Rows (sid, start, end, correction, error_type, rule): every candidate that the
     dictionary (column ``word``) allows. Where a genitive may lose -es or -s, it loses -es
     if that leaves a word. The dictionary is joined, so it may be of any size."""
-    found = rows.select("sid", F.explode(asking(F.col(words), lang, F.col(parse) if parse else None)).alias("c")).select("sid", "c.*")
+    found = exploded(rows, asking(F.col(words), lang, F.col(parse) if parse else None), "sid").select("sid", "c.*")
     entries = dictionary.select("word").distinct()
-    found = found.join(entries.withColumnRenamed("word", "known").withColumn("is_known", F.lit(True)), "known", "left")
-    found = found.join(entries.withColumnRenamed("word", "unknown").withColumn("is_word", F.lit(True)), "unknown", "left")
+    for asked, told in (("known", "is_known"), ("unknown", "is_word")):
+        # most candidates ask nothing: what they meet by is their own, else all would meet in one task
+        own = F.coalesce(F.col(asked), F.concat_ws(" ", F.lit(""), F.col("sid").cast("string"), F.col("start").cast("string")))
+        found = found.withColumn("_key", own).join(entries.select(F.col("word").alias("_key"), F.lit(True).alias(told)), "_key", "left").drop("_key")
     found = found.where((F.col("known").isNull() | F.col("is_known")) & (F.col("unknown").isNull() | F.col("is_word").isNull()))
     one, many = found.where("rule <> 'genitive_s'"), found.where("rule = 'genitive_s'")
     shortest = many.groupBy("sid", "start", "end", "error_type", "rule").agg(F.min_by("correction", F.char_length("correction")).alias("correction"))
