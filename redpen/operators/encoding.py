@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prompts import MARKER
 
@@ -28,6 +31,9 @@ def encode(prompt_ids: Sequence[int], answer_ids: Sequence[int], offsets: Sequen
     return ids, labels, [0.0] * len(prompt_ids) + [weight if x else 1.0 for x in late] + [1.0]
 
 
+#: Records that are encoded at once; an encoding holds far more than its ids.
+_ROWS = 256
+
 ENCODED = "ids array<int>, labels array<int>, weights array<double>"
 
 
@@ -36,24 +42,49 @@ def encoded_records(rows: DataFrame, tokenizer_path: str, end_id: int, weight: f
     file of the tokenizers library; records longer than ``longest`` tokens go. Tokens of an
     answer that begin at its changes' marker or behind weigh ``weight``; an answer without
     the marker weighs 1 throughout."""
-    kind = rows.schema[id_col].dataType.simpleString()
+    made = T.StructType([rows.schema[id_col], *T.StructType.fromDDL(ENCODED)])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tokenizers
 
+        # a task has its core; the library's threads would take those of others
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         held = tokenizers.Tokenizer.from_file(tokenizer_path)
-        for part in parts:
-            prompts = held.encode_batch(part["prompt"].tolist())
-            answers = held.encode_batch(part["answer"].tolist(), add_special_tokens=False)
-            out = []
-            for key, text, p, a in zip(part[id_col], part["answer"], prompts, answers, strict=True):
-                split = text.find(MARKER)
-                got = encode(p.ids, a.ids, [(s, s + 1) for s, _ in a.offsets], end_id, split if split >= 0 else None, weight, longest)
-                if got is not None:
-                    out.append((key, *got))
-            yield pd.DataFrame(out, columns=[id_col, "ids", "labels", "weights"])
-
-    return rows.select(id_col, "prompt", "answer").mapInPandas(run, f"`{id_col}` {kind}, {ENCODED}")
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                texts = part["answer"].to_pylist()
+                # where a prompt's tokens begin doesn't count
+                prompts = held.encode_batch_fast(part["prompt"].to_pylist())
+                answers = held.encode_batch(texts, add_special_tokens=False)
+                kept, ids, labels, weights = [], [], [], []
+                for k, (text, p, a) in enumerate(zip(texts, prompts, answers, strict=True)):
+                    first, size = len(p), len(a)
+                    if first + size + 1 > longest:
+                        continue
+                    kept.append(k)
+                    own = np.array([*p.ids, *a.ids, end_id], np.int32)
+                    late = _late(a, text.find(MARKER))
+                    ids.append(own)
+                    labels.append(np.concatenate([np.full(first, MASKED, np.int32), own[first:]]))
+                    weights.append(np.concatenate([np.zeros(first), np.ones(late), np.full(size - late, weight), [1.0]]))
+                ends = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+                flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else [], kind))
+                columns = [part[id_col].take(pa.array(kept, pa.int64())), flat(ids, pa.int32()), flat(labels, pa.int32()), flat(weights, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=made.names)
+
+    return rows.select(id_col, "prompt", "answer").mapInArrow(run, made)
+
+
+def _late(encoded, split: int) -> int:
+    """The number of an encoded text's tokens before those that begin at the character
+    ``split`` or behind; all of them if it is negative."""
+    if split < 0:
+        return len(encoded)
+    at = encoded.char_to_token(split)
+    if at is None:
+        return sum(s < split for s, _ in encoded.offsets)
+    return at if encoded.token_to_chars(at)[0] >= split else at + 1
 
 
 def split_sizes(rows: DataFrame, validation: int) -> int:
