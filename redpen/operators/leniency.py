@@ -71,13 +71,61 @@ def one_to_one(candidates: DataFrame) -> DataFrame:
     return held.select(*_KEY, F.explode(taken).alias("p")).select(*_KEY, "p.*")
 
 
+def _by_span(gold: DataFrame, system: DataFrame, compounds: bool) -> DataFrame:
+    """``lenient_join`` without synonyms: the edits of a span meet once, and all else is
+    found among them. A null in the span meets nothing of the other side."""
+    kind = "array<struct<ordinal:int,text:string,type:string,gold:boolean>>"
+
+    def side(edits: DataFrame, is_gold: bool) -> DataFrame:
+        edit = F.struct(F.col("ordinal").cast("int").alias("ordinal"), nfc(F.col("correction")).alias("text"), F.col("error_type").alias("type"), F.lit(is_gold).alias("gold"))
+        known = F.col("sid").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+        return edits.select(*_KEY, F.when(~known, is_gold).alias("apart"), edit.alias("x"))
+
+    def firsts(own: Column) -> Column:
+        # in the order of ordinals: the first of equal texts
+        before = lambda i, x: F.exists(F.slice(own, 1, i), lambda y: y["text"].eqNullSafe(x["text"]))
+        return F.when(F.size(own) < 2, own).otherwise(F.filter(own, lambda x, i: ~before(i, x)))
+
+    held = side(gold, True).unionByName(side(system, False)).groupBy(*_KEY, "apart").agg(F.array_sort(F.collect_list("x")).cast(kind).alias("all"))
+    split = F.transform(F.array("all"), lambda a: F.struct(*[F.transform(F.array(F.filter(a, lambda x: x["gold"] == g)), firsts)[0].alias(n) for g, n in ((True, "g"), (False, "s"))]))
+    row = lambda g, s: F.struct(g.alias("gold_type"), s.alias("system_type"))
+    none = F.lit(None).cast("string")
+    without = lambda own, other: F.filter(own, lambda x: ~F.exists(other, lambda y: F.coalesce(y["text"] == x["text"], F.lit(False))))
+    of = lambda own, text: F.filter(own, lambda y: F.coalesce(y["text"] == text, F.lit(False)))
+    parted = F.transform(split, lambda b: F.struct(
+        F.flatten(F.transform(b["g"], lambda x: F.transform(of(b["s"], x["text"]), lambda y: row(x["type"], y["type"])))).alias("exact"),
+        without(b["g"], b["s"]).alias("g"), without(b["s"], b["g"]).alias("s"),
+    ))
+    pair = "array<struct<s:int,g:int>>"
+
+    def take(b: Column) -> Column:
+        def step(got: Column, i: Column) -> Column:
+            y = F.get(b["s"], i)
+            free = F.filter(F.transform(b["g"], lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda x: ~F.exists(got, lambda p: p["g"] == x["k"]) & equivalent(x["x"]["text"], y["text"], compounds))
+            return F.when(F.size(free) > 0, F.array_append(got, F.struct(i.alias("s"), F.get(free, F.lit(0))["k"].alias("g")))).otherwise(got)
+
+        places = F.transform(b["s"], lambda y, i: i)
+        return F.when((F.size(b["s"]) > 0) & (F.size(b["g"]) > 0), F.aggregate(places, F.array().cast(pair), step)).otherwise(F.array().cast(pair))
+
+    def told(b: Column) -> Column:
+        return F.transform(F.array(take(b)), lambda p: F.concat(
+            b["exact"], F.transform(p, lambda x: row(F.get(b["g"], x["g"])["type"], F.get(b["s"], x["s"])["type"])),
+            F.transform(F.filter(b["g"], lambda x, k: ~F.exists(p, lambda q: q["g"] == k)), lambda x: row(x["type"], none)),
+            F.transform(F.filter(b["s"], lambda x, k: ~F.exists(p, lambda q: q["s"] == k)), lambda x: row(none, x["type"])),
+        ))[0]
+
+    return held.select(*_KEY, F.explode_outer(F.transform(parted, told)[0]).alias("r")).where("r is not null").select(*_KEY, "r.*")
+
+
 def lenient_join(gold: DataFrame, system: DataFrame, compounds: bool = True, synonyms: DataFrame | None = None) -> DataFrame:
     """Gold and system edits (sid, start, end, correction, error_type, ordinal; for the
     synonyms also ``parse``) joined outright: exact pairs first, then those of a span
     whose corrections are equivalent, one to one. Rows: sid, start, end, gold_type,
     system_type. Of equal edits on a side the first counts."""
+    if synonyms is None:
+        return _by_span(gold, system, compounds)
     key = [*_KEY, "correction"]
-    more = ["parse"] if synonyms is not None else []
+    more = ["parse"]
 
     def side(edits: DataFrame, name: str) -> DataFrame:
         edits = edits.withColumn("correction", nfc(F.col("correction")))
